@@ -11,6 +11,7 @@ from skein.llm.eval_leaks import leak_report, leaked_items
 from skein.llm.format_copies import collapsed, format_copies
 from skein.llm.grouped_split import assign_splits, record_groups
 from skein.llm.mixture import mixture
+from skein.llm.residue import residue, residue_documents, without_residue
 from skein.llm.set_pairs import similar_set_links, similar_set_pairs
 from skein.llm.split_overlap import overlap_report, split_overlaps
 from skein.llm.top_items import best_targets
@@ -91,9 +92,21 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture(table(spark, d, "documents"), table(spark, d, "source_target"))[1]
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue_documents(table(spark, d, "documents"))
+
+
+def p10_hits(spark: SparkSession, d: str) -> DataFrame:
+    return residue(table(spark, d, "documents"))
+
+
+def p10_clean(spark: SparkSession, d: str) -> DataFrame:
+    return without_residue(table(spark, d, "documents")).select("doc_id", "source", "n_chars")
+
+
 _QUERIES = (
     p1_found, p1_links, p2_found, p3_found, p3_ranked, p4_found, p4_report, p5_found, p5_elite,
-    p6_found, p6_splits, p6_report, p7_found, p7_collapsed, p8_found, p8_report, p9_mixture, p9_shares,
+    p6_found, p6_splits, p6_report, p7_found, p7_collapsed, p8_found, p8_report, p9_mixture, p9_shares, p10_found, p10_hits, p10_clean,
 )
 
 
