@@ -1 +1 @@
-
+"""Column builders: strings, sets, distances."""
