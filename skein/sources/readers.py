@@ -149,10 +149,17 @@ def alignment_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def mapping_rdf(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct (entity1, entity2, measure as text) of an alignment in RDF."""
-    ref = "struct<`_rdf:resource`:string>"
-    cell = spark.read.format("xml").option("rowTag", "Cell").schema(f"entity1 {ref}, entity2 {ref}, measure struct<_VALUE:string>").load(path)
-    return cell.select(F.col("entity1.`_rdf:resource`").alias("entity1"), F.col("entity2.`_rdf:resource`").alias("entity2"), F.col("measure._VALUE").alias("measure")).distinct()
+    """Distinct (entity1, entity2, measure as text) of an alignment in RDF, read cell by cell."""
+    cell = spark.read.text(path, lineSep="</Cell>").where("value like '%<Cell%'")
+    resource = lambda tag: _unescaped(F.regexp_extract("value", rf"""<{tag}\b[^>]*rdf:resource\s*=\s*["']([^"']*)["']""", 1)).alias(tag)
+    measure = F.regexp_extract("value", r"<measure\b[^>]*>([^<]*)<", 1)
+    return cell.select(resource("entity1"), resource("entity2"), F.trim(measure).alias("measure")).distinct()
+
+
+def _unescaped(s):
+    for safe, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        s = F.replace(s, F.lit(safe), F.lit(raw))
+    return s
 
 
 def alignment_rdf(spark: SparkSession, path: str) -> DataFrame:
@@ -184,7 +191,7 @@ def conll(spark: SparkSession, path: str, columns: list[str] | None = None) -> D
 
     One file is one task's work for the numbering; several files run in parallel.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
     if columns is None:
         head = lines.where("line_no = 0").select("line").first()
         if head is None or head["line"].startswith("-DOCSTART-"):
