@@ -138,27 +138,36 @@ def merge_runs(runs: list[_Run], n: int):
             tree.play(tree.winner)
 
 
+def _loaded(part: pa.Table) -> _Run:
+    """A cursor on a run, with the end of every row's group."""
+    groups = part.column("grp").combine_chunks()
+    starts = np.flatnonzero(_firsts(groups))
+    ends = np.repeat(np.append(starts[1:], len(groups)), np.diff(np.append(starts, len(groups))))
+    return _Run(groups.to_pylist(), part.column("item").to_pylist(), part.column("score").to_pylist(), ends.tolist())
+
+
 def _merge(n: int, schema: pa.Schema):
+    """Tasks may hold several buckets; each is merged by itself."""
+
     def run(batches):
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        keys = table.column("run").to_numpy()
-        edges = np.flatnonzero(np.diff(keys)) + 1
-        runs = []
-        for a, b in zip([0, *edges], [*edges, len(keys)]):
-            part = table.slice(a, b - a)
-            groups = part.column("grp").combine_chunks()
-            starts = np.flatnonzero(_firsts(groups))
-            ends = np.repeat(np.append(starts[1:], b - a), np.diff(np.append(starts, b - a)))
-            runs.append(_Run(groups.to_pylist(), part.column("item").to_pylist(), part.column("score").to_pylist(), ends.tolist()))
+        buckets, keys = table.column("bucket").to_numpy(), table.column("run").to_numpy()
+        edges = [0, *(np.flatnonzero((np.diff(keys) != 0) | (np.diff(buckets) != 0)) + 1).tolist(), len(keys)]
         out: list[list] = [[], [], [], []]
-        for row in merge_runs(runs, n):
-            for column, value in zip(out, row):
-                column.append(value)
-            if len(out[0]) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
-                out = [[], [], [], []]
+        at = 0
+        while at < len(edges) - 1:
+            runs, bucket = [], buckets[edges[at]]
+            while at < len(edges) - 1 and buckets[edges[at]] == bucket:
+                runs.append(_loaded(table.slice(edges[at], edges[at + 1] - edges[at])))
+                at += 1
+            for row in merge_runs(runs, n):
+                for column, value in zip(out, row):
+                    column.append(value)
+                if len(out[0]) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                    out = [[], [], [], []]
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
@@ -184,7 +193,7 @@ def top_items(scores: DataFrame, n: int = 5, group: str = "s_id", item: str = "t
         F.pmod(F.xxhash64(group), F.lit(buckets)).cast("int").alias("bucket"), F.col(group).alias("grp"), F.col(item).alias("item"), (s + F.lit(0.0)).alias("score")
     )
     runs = rows.mapInArrow(_runs(n), "bucket int, grp string, item string, score double, run long, pos int")
-    stored = runs.repartition(buckets, "bucket").sortWithinPartitions("run", "pos")
+    stored = runs.repartition(buckets, "bucket").sortWithinPartitions("bucket", "run", "pos")
     out = pa.schema([("grp", pa.string()), ("item", pa.string()), ("score", pa.float64()), ("rank", pa.int32())])
     merged = stored.drop("pos").mapInArrow(_merge(n, out), "grp string, item string, score double, rank int")
     return merged.select(F.col("grp").alias(group), F.col("item").alias(item), F.col("score").alias(score), "rank")
