@@ -245,7 +245,7 @@ def missed_pairs(spark, d):
 
 def _features(names: tuple[str, ...]):
     def query(spark, d):
-        f = features.features_of_pairs(table(spark, d, "training_pair"), ("pair_id",), names)
+        f = features.features_of_pairs(table(spark, d, "training_pair", heavy=True), ("pair_id",), names)
         return f.select("pair_id", *((F.round(n, 6).alias(n) if t == "double" else F.col(n)) for n, t in f.dtypes if n != "pair_id"))
 
     return query
@@ -260,7 +260,7 @@ root_features = _features(features.ROOT)
 
 def model_metrics(spark, d):
     """A classifier trained on the train split, evaluated on dev and test."""
-    pairs, engine = table(spark, d, "training_pair").where("label is not null"), Engine(spark)
+    pairs, engine = table(spark, d, "training_pair", heavy=True).where("label is not null"), Engine(spark)
     fitted = engine.train(pairs.where("split = 'train'"))
     return engine.evaluate(fitted, pairs.where("split in ('dev', 'test')"))
 
@@ -376,7 +376,7 @@ def stratified_split(spark, d):
 
 
 def _words(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(tx.tokens("text", ())).alias("word"))
+    return table(spark, d, "documents", heavy=True).where("text is not null").select("doc_id", F.explode(tx.tokens("text", ())).alias("word"))
 
 
 def vocab_topn(spark, d):
@@ -416,7 +416,7 @@ def max_sim_pair(spark, d):
 def _tokens(spark, d):
     from skein.sources.readers import text_tokens
 
-    return text_tokens(table(spark, d, "documents").where("length(text) > 0"), "doc_id", "text")
+    return text_tokens(table(spark, d, "documents", heavy=True).where("length(text) > 0"), "doc_id", "text")
 
 
 def _runs(toks: DataFrame, hit: Column, label: str) -> DataFrame:

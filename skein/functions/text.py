@@ -34,7 +34,7 @@ def tokens(s, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     found = F.regexp_extract_all(F.coalesce(_col(s), F.lit("")), F.lit(TOKEN), F.lit(0))
     if not stop:
         return found
-    listed = F.array(*(F.lit(w) for w in stop))
+    listed = F.split(F.lit(" ".join(stop)), " ")  # folded to one literal
     return F.filter(found, lambda t: ~F.array_contains(listed, t))
 
 
@@ -46,7 +46,9 @@ def char_ngrams(s, n: int) -> Column:
     """The character n-grams of the text padded with n - 1 NULs on both sides; length + n - 1 of them."""
     pad = "\0" * (n - 1)
     padded = F.concat(F.lit(pad), F.coalesce(_col(s), F.lit("")), F.lit(pad))
-    return F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, F.lit(n)))
+    # the outer transform computes the padded text once, not once per position
+    cut = lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - n + 1), lambda i: F.substring(p, i, F.lit(n)))
+    return F.transform(F.array(padded), cut)[0]
 
 
 def canonical(s) -> Column:

@@ -25,6 +25,13 @@ def build_session(app: str = "skein", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def table(spark: SparkSession, folder: str, name: str):
-    """The parquet table ``name`` of a data folder."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, heavy: bool = False):
+    """The parquet table ``name`` of a data folder.
+
+    ``heavy`` is for queries that spend long on every row: a table of fewer
+    scan partitions than the cluster has cores is spread over the cores first.
+    Larger tables are read as they are, without a shuffle.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if heavy and df.rdd.getNumPartitions() < cores else df
