@@ -286,5 +286,5 @@ d AS (
   SELECT vec_id, (e.i - 1) // 32 AS a, (m.i - 1) // 32 AS b, sum(v * c) AS dot FROM e JOIN m ON e.label = m.label AND (e.i - 1) % 32 = (m.i - 1) % 32 WHERE e.i <= 64 AND m.i <= 64 GROUP BY 1, 2, 3)
 SELECT vec_id, round(dot, 5) AS similarity, a AS s_row, b AS t_row FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dot DESC, a, b) AS r FROM d) WHERE r = 1""",
     "daily_scores": """SELECT time_bucket(INTERVAL 1 DAY, scored_at)::TIMESTAMP AS window_start, count(*) AS n_rows, count(*) FILTER (score BETWEEN 0 AND 1 AND NOT isnan(score)) AS n_valid,
-round(avg(score) FILTER (score BETWEEN 0 AND 1 AND NOT isnan(score)), 6) AS mean_score FROM sim_score WHERE scored_at IS NOT NULL GROUP BY 1""",
+round(sum(score) FILTER (score BETWEEN 0 AND 1 AND NOT isnan(score)), 6) AS sum_score FROM sim_score WHERE scored_at IS NOT NULL GROUP BY 1""",
 }

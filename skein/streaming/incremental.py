@@ -2,7 +2,7 @@
 
 Beyond the batch pipeline: a stream of newly delivered entities is matched
 against a static knowledge base per micro-batch, and a stream of candidate
-scores is reduced to windowed statistics with a watermark for late arrivals.
+scores is reduced to windowed counts and sums with a watermark for late arrivals.
 """
 
 from __future__ import annotations
@@ -32,9 +32,9 @@ def match_new_entities(stream: DataFrame, target: DataFrame, sink: Callable[[Dat
 
 
 def score_windows(scores: DataFrame, time: str = "scored_at", window: str = "1 day", late: str = "7 days") -> DataFrame:
-    """Per window of ``time``: rows, valid rows and their mean score; works on streams and on tables."""
+    """Per window of ``time``: rows, valid rows and the sum of their scores; works on streams and on tables."""
     valid = F.col("score").between(0, 1) & ~F.isnan("score")
     t = scores.withColumn("_t", F.col(time).cast("timestamp"))
     t = t.withWatermark("_t", late) if scores.isStreaming else t
-    out = t.groupBy(F.window("_t", window).alias("w")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(valid).alias("n_valid"), F.round(F.avg(F.when(valid, F.col("score"))), 6).alias("mean_score"))
-    return out.select(F.col("w.start").alias("window_start"), "n_rows", "n_valid", "mean_score")
+    out = t.groupBy(F.window("_t", window).alias("w")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(valid).alias("n_valid"), F.round(F.sum(F.when(valid, F.col("score"))), 6).alias("sum_score"))
+    return out.select(F.col("w.start").alias("window_start"), "n_rows", "n_valid", "sum_score")
