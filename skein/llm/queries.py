@@ -19,11 +19,11 @@ from skein.plans.session import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return similar_set_pairs(table(spark, d, "kb_entity"))
+    return similar_set_pairs(table(spark, d, "kb_entity", heavy=True))
 
 
 def p1_links(spark: SparkSession, d: str) -> DataFrame:
-    return similar_set_links(table(spark, d, "kb_entity"))
+    return similar_set_links(table(spark, d, "kb_entity", heavy=True))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +39,7 @@ def p3_ranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return split_overlaps(table(spark, d, "training_pair"))
+    return split_overlaps(table(spark, d, "training_pair", heavy=True))
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +47,7 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return best_terms(table(spark, d, "kb_entity"))
+    return best_terms(table(spark, d, "kb_entity", heavy=True))
 
 
 def p5_elite(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +77,7 @@ def p7_collapsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    return leaked_items(table(spark, d, "documents", heavy=True), table(spark, d, "eval_item"))
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
@@ -85,15 +85,15 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixture(table(spark, d, "documents"), table(spark, d, "source_target"))[0]
+    return mixture(table(spark, d, "documents", heavy=True), table(spark, d, "source_target"))[0]
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixture(table(spark, d, "documents"), table(spark, d, "source_target"))[1]
+    return mixture(table(spark, d, "documents", heavy=True), table(spark, d, "source_target"))[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue_documents(table(spark, d, "documents"))
+    return residue_documents(table(spark, d, "documents", heavy=True))
 
 
 def p10_hits(spark: SparkSession, d: str) -> DataFrame:

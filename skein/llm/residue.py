@@ -82,7 +82,7 @@ _TOLD = re.compile(
     re.IGNORECASE,
 )
 _AFTER = re.compile(r"^[\"'”’]?,? (?:columns?|fields?|variables?|tokens?|attribute|placeholders?|syntax|is (?:swapped|replaced|filled|expanded)|are (?:swapped|replaced|filled|expanded)|stands? for|means?)\b", re.IGNORECASE)
-_BLOCK = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|(?<!<)<(pre|code)(?:\s[^<>]*)?>.*?</\1>|`[^`\n]+`", re.DOTALL | re.IGNORECASE)
+_BLOCK = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|(?<!<)<(pre|code)(?:\s[^<>]*)?>(?:(?!</?\1\b).)*</\1>|`[^`\n]+`", re.DOTALL | re.IGNORECASE)
 _OPEN, _CLOSE = "\"“„«‘'", "\"”“»’'"
 KINDS = (("placeholders", PLACEHOLDERS), ("filler", FILLER), ("errors", ERRORS), ("scripts", SCRIPTS))
 #: Of each kind, literals of which every hit holds at least one; they spare most texts the expressions.

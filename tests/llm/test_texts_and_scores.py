@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -226,6 +227,13 @@ def test_real_content_is_kept(text):
     assert not any(residue_of(text).values())
 
 
+@pytest.mark.parametrize("text", ["<pre>" * 40_000, "`" * 200_000, "{" * 300_000, "the requested term page " * 20_000, "__a" * 100_000, "xxx " * 100_000, "error in abc " * 30_000])
+def test_residue_scan_is_linear(text):
+    began = time.perf_counter()
+    residue_of(text)
+    assert time.perf_counter() - began < 20
+
+
 def test_residue_operator(spark):
     rows = [(i, t) for i, t in enumerate(CASES[:5] + FINE)] + [(None, CASES[0]), (500, CASES[0]), (501, "word " * 50_000 + CASES[0])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("errors", F.lit("clash"))
