@@ -115,7 +115,7 @@ _INVERSE = "CASE relation_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in
 _ATOMS = f"""{_GOLD},{_LATEST},
 ids AS (SELECT DISTINCT list_last(string_split(provenance, ':')) AS cui, unnest([s_id, t_id]) AS id FROM gold WHERE score > 0 AND provenance LIKE '%:%'),
 atoms AS (
-  SELECT cui, split_part(id, ':', 1) AS sab, list_last(string_split(id, ':')) AS code, id, str, CASE length(str) % 3 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 4 END AS r, length(str) AS ord
+  SELECT cui, split_part(id, ':', 1) AS sab, list_last(string_split(id, ':')) AS code, id, str, CASE length(str) % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS r, length(str) AS ord
   FROM ids JOIN (SELECT research_entity_id AS id, unnest(aliases) AS str FROM latest) USING (id) WHERE str IS NOT NULL AND list_last(string_split(id, ':')) <> 'NOCODE')"""
 _TEXT_TOKENS = """
 sents AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS sent FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?]\\s+') AS s FROM documents WHERE length(text) > 0))"""

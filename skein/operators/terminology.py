@@ -9,8 +9,13 @@ from skein.config import DEFAULT, EngineConfig
 from skein.functions.similarity import lookup
 from skein.functions.text import entity_id
 
-#: Preference of term types for an entity's name; others rank 4 (fixed values).
-TYPE_RANK = {"PT": 0, "PN": 1, "MH": 2, "SY": 3}
+# Preference of term types for an entity's name; others rank 4.
+TYPE_RANK = {
+    "MH": 0, "NM": 0,
+    "PT": 1, "PEP": 1, "PCE": 1,
+    "ET": 2, "ETAL": 2, "CE": 2, "SY": 2, "SYN": 2, "NA": 2, "ETCF": 2, "ETCLIN": 2,
+    "AB": 3, "ACR": 3,
+}
 
 
 def concept_atoms(mrconso: DataFrame, vocabularies: list[str] | None = None) -> DataFrame:
