@@ -40,7 +40,7 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     e = _named(spark, d)
-    return blocking.candidate_scores(e, e, CFG, definitions=False)
+    return blocking.candidate_scores(e, e, CFG, ngrams=True, definitions=True)
 
 
 def _top(spark: SparkSession, d: str, k: int = CFG.top_k) -> DataFrame:
