@@ -55,3 +55,18 @@ def test_engine_blocks_on_ngrams(spark):
     s, t = (spark.createDataFrame([(k, f"{k}:{i}", w + end, [w + end], None) for i, w in enumerate(stems)], cols) for k, end in (("S", "um"), ("T", "ia")))
     gold = spark.createDataFrame([(f"S:{i}", f"T:{i}", 1.0) for i in range(40)], "s_id string, t_id string, score double")
     assert {r["k"]: r["recall"] for r in Engine(spark).evaluate_candidates(s, t, gold).collect()}[1] == 1.0
+
+
+def wide_folder(spark, folder) -> str:
+    """S:0 has 150 candidates of equal score in T; the only gold target is the last of them."""
+    cols = "kb string, research_entity_id string, row_id long, canonical_name string, aliases array<string>, definition string, updated_at timestamp, loaded_at timestamp"
+    s = [("S", f"S:{i}", i, w, [w], None) for i, w in enumerate(["common one", *(chr(97 + i) * 6 for i in range(26))])]
+    t = [("T", f"T:{i:04}", 100 + i, f"w{i}", [f"common w{i}" if i < 150 else f"w{i}"], None) for i in range(3000)]
+    spark.createDataFrame([(*r, None, None) for r in s + t], cols).write.parquet(f"{folder}/kb_entity.parquet")
+    spark.createDataFrame([("S:0", "T:0149", 1.0, "R:C")], "c0 string, c1 string, c2 double, c3 string").write.parquet(f"{folder}/test_input_alignment.parquet")
+    return str(folder)
+
+
+def test_recall_is_counted_to_the_largest_k(spark, tmp_path):
+    at = {r["k"]: (r["candidates"], r["hits"]) for r in QUERIES["recall_at_k"](spark, wide_folder(spark, tmp_path)).collect()}
+    assert at[100] == (100, 0) and at[200] == at[500] == (150, 1)
