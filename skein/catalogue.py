@@ -339,7 +339,7 @@ def collapse_concepts(spark, d):
 
 
 def definitions_concat(spark, d):
-    docs = table(spark, d, "documents").where("entity_id is not null and text is not null").select(F.col("entity_id").alias("aui"), F.col("doc_id").alias("ord"), F.substring("text", 1, 20).alias("def"))
+    docs = table(spark, d, "documents").where("entity_id is not null and text is not null").select(F.col("entity_id").alias("aui"), F.col("doc_id").alias("ord"), F.col("text").alias("def"))
     owners = _entities(spark, d).select(F.col("research_entity_id").alias("aui"), "research_entity_id")
     j = terminology.joined_definitions(docs, owners)
     return j.select("research_entity_id", F.md5("definition").alias("digest"))

@@ -1,5 +1,6 @@
 """Queries and operators do the whole job: no token kind, rank, text or target is left out."""
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -70,3 +71,11 @@ def wide_folder(spark, folder) -> str:
 def test_recall_is_counted_to_the_largest_k(spark, tmp_path):
     at = {r["k"]: (r["candidates"], r["hits"]) for r in QUERIES["recall_at_k"](spark, wide_folder(spark, tmp_path)).collect()}
     assert at[100] == (100, 0) and at[200] == at[500] == (150, 1)
+
+
+def test_definitions_are_joined_whole(spark, tmp_path):
+    same, folder = "x" * 5000, wide_folder(spark, tmp_path)
+    docs = [(2, "S:0", same + "a"), (1, "S:0", "first"), (3, "S:1", same + "b"), (0, "S:1", "first")]
+    spark.createDataFrame(docs, "doc_id long, entity_id string, text string").write.parquet(f"{folder}/documents.parquet")
+    got = {r["research_entity_id"]: r["digest"] for r in QUERIES["definitions_concat"](spark, folder).collect()}
+    assert got == {f"S:{i}": hashlib.md5(f"first {same}{end}".encode()).hexdigest() for i, end in ((0, "a"), (1, "b"))}
