@@ -165,7 +165,9 @@ def synonym_enrich(spark, d):
 
 
 def summary_enrich(spark, d):
-    docs = table(spark, d, "documents").where("entity_id is not null and length(text) > 0").groupBy("entity_id").agg(F.min_by(F.substring("text", 1, 80), "doc_id").alias("summary"))
+    texts = table(spark, d, "documents").where("entity_id is not null and length(text) > 0").select("entity_id", "doc_id", "text")
+    first = texts.groupBy("entity_id").agg(F.min("doc_id").alias("doc_id"))  # whole texts are joined to the chosen documents only
+    docs = texts.join(first, ["entity_id", "doc_id"]).select("entity_id", F.col("text").alias("summary"))
     e = _entities(spark, d)
     names = e.where("canonical_name is not null").groupBy("canonical_name").agg(F.min("research_entity_id").alias("entity_id"))
     summaries = names.join(docs, "entity_id").select(F.col("canonical_name").alias("query"), "summary")

@@ -79,3 +79,11 @@ def test_definitions_are_joined_whole(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, entity_id string, text string").write.parquet(f"{folder}/documents.parquet")
     got = {r["research_entity_id"]: r["digest"] for r in QUERIES["definitions_concat"](spark, folder).collect()}
     assert got == {f"S:{i}": hashlib.md5(f"first {same}{end}".encode()).hexdigest() for i, end in ((0, "a"), (1, "b"))}
+
+
+def test_summaries_are_whole_texts(spark, tmp_path):
+    folder = wide_folder(spark, tmp_path)
+    docs = [(2, "S:0", "y" * 700), (1, "S:0", "x" * 500), (0, "S:0", ""), (3, "T:0001", "z" * 90)]
+    spark.createDataFrame(docs, "doc_id long, entity_id string, text string").write.parquet(f"{folder}/documents.parquet")
+    got = {r["research_entity_id"]: r["n_definition"] for r in QUERIES["summary_enrich"](spark, folder).where("n_definition is not null").collect()}
+    assert got == {"S:0": 500, "T:0001": 90}
