@@ -220,7 +220,7 @@ def unmatched_target(spark, d):
 def remaining_candidates(spark, d):
     e, scored = _named(spark, d), _candidates(spark, d)
     exact = blocking.exact_matches(e, e, scored)
-    return blocking.remaining_candidates(blocking.ranked(scored, 10), exact).select("s_kb", "s_id", "t_kb", "t_id", "rank")
+    return blocking.remaining_candidates(blocking.ranked(scored, CFG.top_k), exact).select("s_kb", "s_id", "t_kb", "t_id", "rank")
 
 
 def named_pairs(spark, d):

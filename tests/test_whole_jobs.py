@@ -87,3 +87,8 @@ def test_summaries_are_whole_texts(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, entity_id string, text string").write.parquet(f"{folder}/documents.parquet")
     got = {r["research_entity_id"]: r["n_definition"] for r in QUERIES["summary_enrich"](spark, folder).where("n_definition is not null").collect()}
     assert got == {"S:0": 500, "T:0001": 90}
+
+
+def test_remaining_candidates_keep_the_production_cut(spark, tmp_path):
+    rows = QUERIES["remaining_candidates"](spark, wide_folder(spark, tmp_path)).collect()
+    assert sorted(r["rank"] for r in rows if r["s_id"] == "S:0") == list(range(1, 101))
