@@ -83,22 +83,32 @@ def hard_negatives(candidates: DataFrame, positives: DataFrame, per_source: int
     return other.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_source).select("s_id", "t_id", F.lit(0).alias("label"), F.lit("hard_negative").alias("provenance"))
 
 
-def easy_negatives(targets: DataFrame, positives: DataFrame, hard: DataFrame, per_source: int = 1, seed: int = DEFAULT.seed, buckets: int = 4096) -> DataFrame:
-    """(s_id, t_id, label -1): hash-chosen targets of the positive's target knowledge base.
+def easy_negatives(targets: DataFrame, positives: DataFrame, hard: DataFrame, per_source: int = 1, seed: int = DEFAULT.seed, cells: int = 1024) -> DataFrame:
+    """(s_id, t_id, label -1): hash-chosen targets of the positive's target knowledge base, without positives and hard negatives.
 
     ``targets`` has (``kb``, ``research_entity_id``), ``positives`` also
-    ``t_kb``. Targets are hashed into buckets, a source draws one bucket and
-    takes its smallest-hash target, so nothing is numbered globally.
+    ``t_kb``. Targets are numbered per knowledge base in hash order, counted per
+    cell and then within the cell. A source draws among the numbers that its
+    known pairs leave, so every other target can be drawn and every source
+    that has one gets one.
     """
-    size = targets.groupBy("kb").agg(F.count(F.lit(1)).alias("n")).select(F.col("kb").alias("t_kb"), F.least(F.lit(buckets), F.greatest(F.lit(1), F.floor(F.col("n") / 4))).alias("m"))
-    spots = targets.select(F.col("kb").alias("t_kb"), F.col("research_entity_id").alias("t_id")).join(F.broadcast(size), "t_kb")  # one row per knowledge base
-    spots = spots.withColumn("slot", F.pmod(F.xxhash64("t_id", F.lit(seed)), F.col("m")))
-    spots = spots.groupBy("t_kb", "slot").agg(F.min("t_id").alias("t_id"))
-    draws = positives.select("s_id", "t_kb").distinct().select("*", F.explode(F.sequence(F.lit(1), F.lit(per_source))).alias("i")).join(F.broadcast(size), "t_kb")
-    draws = draws.withColumn("slot", F.pmod(F.xxhash64("s_id", "i", F.lit(seed)), F.col("m")))
-    drawn = draws.join(spots, ["t_kb", "slot"]).select("s_id", "t_id").distinct()
-    known = positives.select("s_id", "t_id").unionByName(hard.select("s_id", "t_id"))
-    return drawn.join(known, ["s_id", "t_id"], "left_anti").select("s_id", "t_id", F.lit(-1).alias("label"), F.lit("easy_negative").alias("provenance"))
+    spots = targets.select(F.col("kb").alias("t_kb"), F.col("research_entity_id").alias("t_id")).withColumn("_h", F.xxhash64("t_id", F.lit(seed)))
+    spots = spots.withColumn("_cell", F.pmod("_h", F.lit(cells)))
+    counts = spots.groupBy("t_kb", "_cell").agg(F.count(F.lit(1)).alias("_n"))  # one row per knowledge base and cell
+    before = Window.partitionBy("t_kb").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("t_kb", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
+    inside = F.row_number().over(Window.partitionBy("t_kb", "_cell").orderBy("_h", "t_id"))
+    spots = spots.join(F.broadcast(starts), ["t_kb", "_cell"]).select("t_kb", "t_id", (F.col("_b") + inside - 1).alias("number"))
+    size = counts.groupBy("t_kb").agg(F.sum("_n").alias("n"))  # one row per knowledge base
+    known = positives.select("s_id", "t_id").unionByName(hard.select("s_id", "t_id")).distinct()
+    taken = known.join(spots, "t_id").groupBy("s_id", "t_kb").agg(F.array_sort(F.collect_list("number")).alias("taken"))
+    draws = positives.select("s_id", "t_kb").distinct().join(F.broadcast(size), "t_kb").join(taken, ["s_id", "t_kb"], "left")
+    draws = draws.withColumn("taken", F.coalesce("taken", F.array().cast("array<bigint>"))).withColumn("free", F.col("n") - F.size("taken")).where("free > 0")
+    draws = draws.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(per_source).cast("long"), F.col("free")))))
+    at = F.pmod(F.pmod(F.xxhash64("s_id", "t_kb", F.lit(seed)), F.col("free")) + F.col("i"), F.col("free"))
+    number = F.aggregate("taken", at, lambda x, t: F.when(t <= x, x + 1).otherwise(x))  # the at-th number that isn't taken
+    drawn = draws.select("s_id", "t_kb", number.alias("number")).join(spots, ["t_kb", "number"]).select("s_id", "t_id").distinct()
+    return drawn.select("s_id", "t_id", F.lit(-1).alias("label"), F.lit("easy_negative").alias("provenance"))
 
 
 def stratified_split(pairs: DataFrame, keys: tuple[str, ...], label: str = "label", cfg: EngineConfig = DEFAULT) -> DataFrame:

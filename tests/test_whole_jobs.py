@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skein import catalogue
 from skein.config import DEFAULT, STOP_WORDS
+from skein.operators import terminology
 from skein.plans.engine import Engine
 from tests.conftest import DATA
 
@@ -92,3 +93,14 @@ def test_summaries_are_whole_texts(spark, tmp_path):
 def test_remaining_candidates_keep_the_production_cut(spark, tmp_path):
     rows = QUERIES["remaining_candidates"](spark, wide_folder(spark, tmp_path)).collect()
     assert sorted(r["rank"] for r in rows if r["s_id"] == "S:0") == list(range(1, 101))
+
+
+def test_every_source_draws_easy_negatives_among_all_targets(spark):
+    pos = spark.createDataFrame([(f"s{i}", f"t{i % 40}", "T") for i in range(2000)], "s_id string, t_id string, t_kb string")
+    hard = spark.createDataFrame([(f"s{i}", f"t{(i + 1) % 40}") for i in range(2000)], "s_id string, t_id string")
+    targets = spark.createDataFrame([("T", f"t{i}") for i in range(40)], "kb string, research_entity_id string")
+    easy = [(r["s_id"], r["t_id"]) for r in terminology.easy_negatives(targets, pos, hard).collect()]
+    known = {(f"s{i}", f"t{(i + j) % 40}") for i in range(2000) for j in (0, 1)}
+    assert len({s for s, _ in easy}) == len(easy) == 2000 and not known & set(easy)
+    drawn = Counter(t for _, t in easy)
+    assert len(drawn) == 40 and max(drawn.values()) < 100
