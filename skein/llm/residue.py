@@ -99,7 +99,7 @@ _LITERALS = {
         "connection failed", "your session", "sign in again", "inicie ses", "access denied", "you do not have", "not have access", "went wrong", "try again", "checking your", "connection timed",
         "connection was reset", "invalid request", "missing", "introuvable", "nicht gefunden", "no se pudo", "no encontrada", "indisponible", "we are sorry", "oops!", "serverfehler", "versuchen sie",
     ),
-    "scripts": ("javascript", "java script", " js", " script", "browser is not supported", "turn them on"),
+    "scripts": ("javascript", "java script", "js", "script", "browser is not supported", "turn them on"),
 }
 
 
