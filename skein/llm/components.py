@@ -1,61 +1,141 @@
 """Groups of linked records: connected components on a two-dimensional grid.
 
-Vertices are hashed into ``side`` blocks and every edge into the cell of its
-block pair, so the edges of a vertex with very many partners spread over a
-whole row of cells. Each cell runs union-find on its own edges. A vertex then
-takes the smallest representative of its row and column; differing
-representatives become the edges of a smaller graph, on which the next round
-works, until all parents agree. The rounds' parents are composed at the end.
+Ids are numbered once; the rounds work on longs. In every round vertices are
+hashed into ``side`` blocks, with another salt each time, and every edge into
+the cell of its block pair, so the edges of a vertex with very many partners
+spread over a whole row of cells. Each cell runs union-find on its own edges,
+the root of a set being its member of the lowest rank in an order that is drawn
+anew for the round. A vertex then takes the lowest representative of its row
+and column and hops to that one's own representative (pointer jumping); links
+between different representatives are the edges of a smaller graph, on which
+the next round works, until all parents agree.
+
+As the order is random, a vertex of a path is the lowest of its neighbourhood
+with a chance that doesn't depend on how the ids are ordered, so the vertices
+shrink by a constant factor a round whatever the input. The rounds' parents are
+composed at the end and the smallest id of every component is looked up.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.plans.scratch import Scratch
 
-#: Edges that one cell is sized for. A cell streams its edges and holds only
-#: its own vertices.
-CELL_EDGES = 250_000
-
-
-def _union_find(batches):
-    """(u, v) batches of one partition -> every vertex with its local root, the smallest."""
-    index: dict = {}
-    parent: list[int] = []
-    names: list = []
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for batch in batches:
-        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            i = index.setdefault(u, len(names))
-            if i == len(names):
-                names.append(u)
-                parent.append(i)
-            j = index.setdefault(v, len(names))
-            if j == len(names):
-                names.append(v)
-                parent.append(j)
-            i, j = find(i), find(j)
-            if i != j:
-                if names[j] < names[i]:
-                    i, j = j, i
-                parent[j] = i
-    for start in range(0, len(names), 65536):
-        part = range(start, min(start + 65536, len(names)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([names[i] for i in part], pa.string()), pa.array([names[find(i)] for i in part], pa.string())],
-            names=["vertex", "root"],
-        )
+#: Edges that one cell is sized for, and edges from which a cell is worth a task of its own.
+CELL_EDGES, LEAST_EDGES = 250_000, 5_000
+#: Edges that a cell takes up before it reduces them to a forest.
+_CHUNK = 1 << 20
+
+
+def _ranks(ids: np.ndarray, salt: int) -> np.ndarray:
+    """The place of every id in the round's order: a one-to-one mixing of 64 bits."""
+    x = ids.view(np.uint64) + np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64))
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def _forest(u: np.ndarray, v: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vertices, root of each, rank of the root): union-find over edges, all trees compressed.
+
+    Vertices are indexed in rank order; the higher of two roots is hooked to
+    the lower, then every path is halved until it is a star.
+    """
+    ids = np.unique(np.concatenate([u, v]))
+    rank = _ranks(ids, salt)
+    order = np.argsort(rank)
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    a, b = place[np.searchsorted(ids, u)], place[np.searchsorted(ids, v)]
+    parent = np.arange(len(ids))
+    while len(a):
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        apart = low != high
+        low, high = low[apart], high[apart]
+        if not len(low):
+            break
+        by = np.lexsort((low, high))  # the lowest partner of every root comes first
+        low, high = low[by], high[by]
+        first = np.append(True, high[1:] != high[:-1])
+        parent[high[first]] = low[first]
+        while True:
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                break
+            parent = up
+        a, b = parent[low], parent[high]
+    ids, rank = ids[order], rank[order]
+    return ids, ids[parent], rank[parent]
+
+
+def _union_find(salt: int):
+    """(u, v) batches of one cell -> every vertex with its root; holds a forest and one chunk of edges."""
+
+    def run(batches):
+        us, vs, held = [], [], 0
+        forest = None
+
+        def reduce():
+            return _forest(np.concatenate(us), np.concatenate(vs), salt)
+
+        for batch in batches:
+            us.append(batch.column(0).to_numpy())
+            vs.append(batch.column(1).to_numpy())
+            held += batch.num_rows
+            if held >= _CHUNK:
+                forest = reduce()
+                us, vs, held = [forest[0]], [forest[1]], 0
+        if us:
+            forest = reduce()
+        if forest is not None:
+            whole = pa.RecordBatch.from_arrays([pa.array(x) for x in forest], names=["vertex", "root", "rank"])
+            for start in range(0, whole.num_rows, 65536):
+                yield whole.slice(start, 65536)
+
+    return run
+
+
+def side_of(edges: int, cores: int, cell_edges: int) -> int:
+    """Blocks per side: enough that a cell holds about ``cell_edges``, or that every core has a cell of at least ``LEAST_EDGES``."""
+    cells = max(edges / cell_edges, min(cores, edges / LEAST_EDGES))
+    return max(1, math.ceil(math.sqrt(2 * cells)))
+
+
+def contraction_rounds(edges: DataFrame, scratch: Scratch, cell_edges: int = CELL_EDGES) -> list[DataFrame]:
+    """The parents (``vertex``, ``parent``) found in each round over the saved long edges (``u``, ``v``), u != v."""
+    rounds: list[DataFrame] = []
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    name = None
+    while count := edges.count():
+        number = len(rounds)
+        side = side_of(count, cores, cell_edges)
+        block = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(number)), F.lit(side))  # noqa: B023, E731
+        low, high = F.least(block("u"), block("v")), F.greatest(block("u"), block("v"))
+        cell = (high * (high + 1) / 2 + low).cast("int")
+        local = edges.repartitionById(side * (side + 1) // 2, cell).mapInArrow(_union_find(number), "vertex long, root long, rank long")
+        found = local.groupBy("vertex").agg(F.min(F.struct("rank", "root"))["root"].alias("parent"), F.collect_set("root").alias("roots"))  # at most one root per cell of a row
+        found = scratch.save(found, f"found{number}")
+        if found.where(F.size("roots") > 1).isEmpty():
+            rounds.append(found.select("vertex", "parent"))
+            break
+        hop = found.select(F.col("vertex").alias("parent"), F.col("parent").alias("top"))
+        jumped = scratch.save(found.join(hop, "parent").select("vertex", F.col("top").alias("parent"), "roots"), f"round{number}")
+        rounds.append(jumped.select("vertex", "parent"))
+        ends = jumped.select(F.col("parent").alias("a"), F.explode("roots").alias("vertex")).distinct()
+        later = ends.join(rounds[-1].withColumnRenamed("parent", "b"), "vertex").where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+        edges = scratch.save(later, f"edges{number}")
+        for done in (f"found{number}", name):
+            if done:
+                scratch.drop(done)
+        name = f"edges{number}"
+    return rounds
 
 
 def linked_groups(links: DataFrame, left: str, right: str, cell_edges: int = CELL_EDGES) -> DataFrame:
@@ -67,39 +147,26 @@ def linked_groups(links: DataFrame, left: str, right: str, cell_edges: int = CEL
     its own group; repeated and reversed rows count once; an empty table gives
     an empty result. Other columns are ignored.
     """
-    spark = links.sparkSession
-    scratch = Scratch(spark, "components")
+    scratch = Scratch(links.sparkSession, "components")
     pairs = (
         links.select(F.col(left).cast("string").alias("a"), F.col(right).cast("string").alias("b"))
         .where(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    edges = scratch.save(pairs, "edges0")
-    rounds: list[DataFrame] = []
-    while (count := edges.count()) or not rounds:
-        side = max(1, math.ceil(math.sqrt(2 * count / cell_edges)))
-        cells = side * (side + 1) // 2
-        low = F.least(*(F.pmod(F.xxhash64(c), F.lit(side)) for c in ("u", "v")))
-        high = F.greatest(*(F.pmod(F.xxhash64(c), F.lit(side)) for c in ("u", "v")))
-        local = edges.repartition(cells, low * side + high).mapInArrow(_union_find, "vertex string, root string")
-        found = local.groupBy("vertex").agg(F.min("root").alias("parent"), F.collect_set("root").alias("roots"))
-        found = scratch.save(found, f"round{len(rounds)}")
-        rounds.append(found.select("vertex", "parent"))
-        if cells == 1:  # one cell saw every edge
-            break
-        edges = scratch.save(
-            found.where(F.size("roots") > 1)
-            .select(F.col("parent").alias("u"), F.explode("roots").alias("v"))
-            .where("u != v")
-            .distinct(),
-            f"edges{len(rounds)}",
-        )
-    groups = rounds.pop()
-    while rounds:
-        later = groups.select(F.col("vertex").alias("parent"), F.col("parent").alias("last"))
-        groups = rounds.pop().join(later, "parent", "left").select("vertex", F.coalesce("last", "parent").alias("parent"))
-    return groups.select(F.col("vertex").alias("entity_id"), F.col("parent").alias("group_id"))
+    pairs = scratch.save(pairs, "pairs")
+    names = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct().withColumn("vertex", F.monotonically_increasing_id()), "names")
+    numbered = pairs.where("a != b")
+    for text, number in (("a", "u"), ("b", "v")):
+        numbered = numbered.join(names.select(F.col("name").alias(text), F.col("vertex").alias(number)), text)
+    edges = scratch.save(numbered.select("u", "v"), "edges")
+    rounds = contraction_rounds(edges, scratch, cell_edges)
+    groups = names.select("vertex", F.col("vertex").alias("parent"))
+    for found in rounds:
+        groups = groups.join(found.select(F.col("vertex").alias("parent"), F.col("parent").alias("top")), "parent", "left").select("vertex", F.coalesce("top", "parent").alias("parent"))
+    groups = scratch.save(groups.join(names, "vertex").select("name", "parent"), "groups")
+    least = groups.groupBy("parent").agg(F.min("name").alias("group_id"))
+    return groups.join(least, "parent").select(F.col("name").alias("entity_id"), "group_id")
 
 
 def match_groups(alignment: DataFrame, cell_edges: int = CELL_EDGES) -> DataFrame:

@@ -1,12 +1,16 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm.components import linked_groups, match_groups
+from skein.llm import components as comp
+from skein.llm.components import contraction_rounds, linked_groups, match_groups, side_of
 from skein.llm.format_copies import collapsed, format_copies
 from skein.llm.grouped_split import anneal, assign_splits, record_groups
 from skein.llm.set_pairs import similar_classes, similar_set_links, similar_set_pairs
+from skein.plans.scratch import Scratch
 
 ENTITY = "row_id long, canonical_name string, aliases array<string>"
 
@@ -79,6 +83,35 @@ def test_components_match_union_find(spark, cell_edges):
     assert got == components(links)
 
 
+def test_ordered_chain_needs_few_rounds(spark):
+    """100,000 links in id order on a grid of 20 x 20 blocks: the rounds grow with the logarithm only."""
+    n = 100_000
+    assert side_of(n, 4, 500) >= 20
+    scratch = Scratch(spark, "chain")
+    edges = scratch.save(spark.range(n).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")), "edges")
+    rounds = contraction_rounds(edges, scratch, 500)
+    assert len(rounds) <= 2 * math.log2(n)
+    print("rounds", len(rounds))
+    up = {}
+    for found in reversed(rounds):
+        up |= {v: up.get(p, p) for v, p in zip(*(found.toPandas()[c].tolist() for c in ("vertex", "parent")))}
+    assert len(up) == n + 1 and len(set(up.values())) == 1
+
+
+def test_forest_is_a_union_find(spark):
+    rng = np.random.default_rng(4)
+    u, v = rng.integers(-50, 400, 300), rng.integers(-50, 400, 300)
+    ids, roots, ranks = comp._forest(u, v, 3)
+    named = {}
+    for a, b in components([(f"{a + 50:03}", f"{b + 50:03}") for a, b in zip(u, v)]):
+        named[int(a) - 50] = b
+    got = dict(zip(ids.tolist(), roots.tolist()))
+    groups = lambda m: sorted(sorted(k for k in m if m[k] == r) for r in set(m.values()))
+    assert groups(got) == groups(named)
+    own = dict(zip(ids.tolist(), comp._ranks(ids, 3).tolist()))
+    assert all(own[r] == k == min(own[i] for i in got if got[i] == r) for r, k in zip(roots.tolist(), ranks.tolist()))
+
+
 def test_match_groups_edges(spark):
     rows = [(" a", "b\t", 1.0), ("b", "a", 1.0), ("c", None, 1.0), ("d", "e", 0.0), ("f", "f", 1.0), ("b", "g", 0.5), ("x", "y", None), ("p", "q", float("nan")), (None, None, 1.0)]
     df = spark.createDataFrame(rows, "c0 string, c1 string, c2 double").withColumn("vertex", F.lit("z"))
