@@ -148,6 +148,12 @@ valid AS (
   WHERE score BETWEEN 0 AND 1 AND NOT isnan(score) AND t_id IS NOT NULL AND s_id IN (SELECT research_entity_id FROM kb_entity)
   GROUP BY s_id, t_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY s_id ORDER BY score DESC, t_id) AS rank FROM valid)"""
+_LEAKS = f"""
+w AS (
+  SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '{_GAP}'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(text), '{_GAP}'), lambda x: x <> '') FROM eval_item WHERE text IS NOT NULL),
+grams AS (SELECT DISTINCT kind, id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT kind, id, w, unnest(range(1, len(w) - 10)) AS i FROM w WHERE len(w) >= 12)),
+leaks AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM grams d JOIN grams i ON d.g = i.g WHERE d.kind = 'd' AND i.kind = 'i')"""
 _GROUPS = """
 reach AS (
   SELECT a AS node, b AS label FROM hops
@@ -193,11 +199,11 @@ SELECT first AS row_id_first, row_id FROM (SELECT row_id, min(row_id) OVER (PART
         "p7_collapsed": f"""WITH {_COPIES.lstrip()}
 SELECT min(row_id) AS row_id, count(*) AS copies FROM sets WHERE len(s) > 0 GROUP BY s
 UNION ALL SELECT row_id, 1 FROM sets WHERE len(s) = 0""",
-        "p8_found": f"""WITH w AS (
-  SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '{_GAP}'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL
-  UNION ALL SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(text), '{_GAP}'), lambda x: x <> '') FROM eval_item WHERE text IS NOT NULL),
-grams AS (SELECT DISTINCT kind, id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT kind, id, w, unnest(range(1, len(w) - 10)) AS i FROM w WHERE len(w) >= 12))
-SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM grams d JOIN grams i ON d.g = i.g WHERE d.kind = 'd' AND i.kind = 'i'""",
+        "p8_found": f"WITH {_LEAKS.lstrip()} SELECT doc_id, item_id FROM leaks",
+        "p8_report": f"""WITH {_LEAKS.lstrip()}
+SELECT item_id, measured, CASE WHEN measured THEN coalesce(n, 0) END AS documents FROM (
+  SELECT item_id, coalesce(len(list_filter(regexp_split_to_array(lower(text), '{_GAP}'), lambda x: x <> '')), 0) >= 12 AS measured FROM eval_item WHERE item_id IS NOT NULL)
+LEFT JOIN (SELECT item_id, count(*) AS n FROM leaks GROUP BY item_id) USING (item_id)""",
     } | {
         "p4_found": f"""WITH {sets.lstrip()},
 tokens AS (SELECT pair_id, split = 'train' AS train, len(s) AS n, unnest(s) AS t FROM sets)

@@ -99,7 +99,7 @@ def test_two_poisson_fit_separates_rates():
 # Leaks
 
 
-def test_leaks_match_brute_force(spark):
+def test_leaks_match_brute_force(spark, tmp_path):
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(30)]
     items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([3, 12, 13, 40])))) for i in range(12)] + [(90, None), (91, "")]
@@ -119,9 +119,13 @@ def test_leaks_match_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"id": F.lit("x"), "n": F.lit(1)})
     it = spark.createDataFrame(items, "item_id long, text string").withColumn("split", F.lit("dev"))
     assert want and two(leaked_items(df, it)) == want
-    assert two(leaked_items(df, it, max_broadcast=0)) == want
+    assert two(leaked_items(df, it, block_shingles=40)) == want  # several blocks of items
     assert leaked_items(df.limit(0), it).count() == 0 and leaked_items(df, it.limit(0)).count() == 0
-    assert dict(two(leak_report(df, it))) == {i: sum(1 for _, j in want if j == i) for i, _ in items}
+    long = {i for i, t in items if len(words_of(t)) >= 12}
+    assert two(leak_report(df, it)) == sorted((i, i in long, sum(1 for _, j in want if j == i) if i in long else None) for i, _ in items)
+    df.write.parquet(f"{tmp_path}/corpus")
+    found = leaked_items(spark.read.parquet(f"{tmp_path}/corpus"), it)
+    assert two(found) == want and not any("corpus" in f for f in found.inputFiles())  # read once, by the scan whose stretches are saved
 
 
 # Overlap of splits
