@@ -10,8 +10,11 @@ members. Cells are joined exactly, pairs whose distances to the pivot differ by
 more than ``radius`` being skipped.
 
 Because R_p + radius < 1, a class within the bound shares a value with p. Pivots
-are therefore found through the values, ordered by rarity: two sets of Jaccard
-similarity t share a value among the first n - ceil(t n) + 1 of either.
+are therefore found through the values, ordered by rarity. Sets of n and m
+values with Jaccard similarity t have at least t / (1 + t) (n + m) in common, so
+their first common value stands early enough in both; postings are keyed by
+value and partner length, and a value that recurs in very many sets brings
+those together only whose lengths and positions leave room for the rest.
 Two home members of a cell are at most 2 RHO <= radius apart, so a cell's home
 pairs are all results and no cell does work beyond its output but for the
 replicas near its boundary.
@@ -28,9 +31,14 @@ from skein.plans.scratch import Scratch
 _EPS = 1e-9
 
 
-def _reach(position: Column, n: Column) -> Column:
-    """The highest similarity for which a value at 0-based ``position`` of ``n`` is in the necessary prefix."""
-    return (n - position) / n
+def _overlap(n: Column, m: Column, t: Column) -> Column:
+    """The fewest common values of sets of ``n`` and ``m`` values with similarity ``t``."""
+    return F.ceil(t / (1 + t) * (n + m) - _EPS)
+
+
+def _length(n: Column) -> Column:
+    """A number that rises with the length of a set: the length itself up to 32, steps of 5 % above."""
+    return F.when(n <= 32, n).otherwise(32 + F.floor(20 * F.log(n / 32.0))).cast("int")
 
 
 def _jaccard(a: str, b: str) -> Column:
@@ -57,10 +65,37 @@ def _ordered(distinct: DataFrame) -> DataFrame:
     return lists.select("cid", F.col("t.tok").alias("toks"), F.size(F.filter("t", lambda t: t["df"] > 1)).alias("shared"))
 
 
-def _postings(ordered: DataFrame, least: Column) -> DataFrame:
-    """A row per shared value in the prefix for similarity ``least``, with its position ``pos`` of ``n``."""
+def _shared(ordered: DataFrame) -> DataFrame:
+    """A row per value that other classes hold as well, with its position ``pos`` of ``n``."""
     rows = ordered.where("shared > 0").select("*", F.posexplode("toks").alias("pos", "tok"), F.size("toks").alias("n"))
-    return rows.where((F.col("pos") >= F.col("n") - F.col("shared")) & (_reach(F.col("pos"), F.col("n")) >= least - _EPS))
+    return rows.where(F.col("pos") >= F.col("n") - F.col("shared"))
+
+
+def _indexed(ordered: DataFrame, least: Column, longer: bool = False) -> DataFrame:
+    """Postings under (``tok``, own ``length``) for partners of similarity ``least``, with ``longer`` for those of at least the own length only.
+
+    The first common value of two sets leaves both no more values than follow
+    it, so its position is bounded by the lengths of both.
+    """
+    n = F.col("n")
+    fewest = F.ceil(2 * least / (1 + least) * n - _EPS) if longer else F.ceil(least * n - _EPS)
+    return _shared(ordered).where(n - F.col("pos") >= fewest).withColumn("length", _length(n))
+
+
+def _probing(ordered: DataFrame, least: Column, shorter: bool = False) -> DataFrame:
+    """Postings under (``tok``, ``length``) of every length that a partner of similarity ``least`` may have, with ``shorter`` up to the own length."""
+    n = F.col("n")
+    low = F.ceil(least * n - _EPS)
+    high = F.least(F.floor(n / least + _EPS), F.floor((n - F.col("pos")) * (1 + least) / least - n + _EPS))
+    high = F.least(high, n) if shorter else high
+    rows = _shared(ordered).withColumn("low", low).withColumn("high", high).where("low <= high")
+    return rows.withColumn("length", F.explode(F.sequence(_length(F.col("low")), _length(F.col("high"))))).drop("low", "high")
+
+
+def _met(a: str, b: str, t: Column) -> Column:
+    """Whether two postings (columns n, pos and toks with these prefixes) meet at the first common value and may reach ``t``."""
+    left = F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos"))
+    return left >= _overlap(F.col(f"{a}n"), F.col(f"{b}n"), t)
 
 
 def similar_classes(records: DataFrame, row_id: str, values: Column, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
@@ -79,46 +114,60 @@ def similar_classes(records: DataFrame, row_id: str, values: Column, threshold:
     ordered = scratch.save(_ordered(distinct), "ordered")
 
     # Leaders: of the classes with a value in their prefix, the one with the smallest hash.
-    near = _postings(ordered, F.lit(1 - rho)).select("tok", "cid", "toks")
+    near = _indexed(ordered, F.lit(1 - rho)).select("tok", "cid", "toks")
     rank = F.struct(F.xxhash64("cid").alias("h"), "cid", "toks")
     leaders = near.groupBy("tok").agg(F.min(rank).alias("l")).select("tok", F.col("l.cid").alias("pivot"), F.col("l.toks").alias("ptoks"))
     tried = near.join(leaders, "tok").where("cid != pivot").withColumn("d", 1 - _jaccard("toks", "ptoks")).where(F.col("d") <= rho + _EPS)
     homes = scratch.save(tried.groupBy("cid").agg(F.min(F.struct("d", "pivot")).alias("h")).select("cid", "h.pivot", "h.d"), "homes")
 
-    # Cells: members of own pivots need no row in ``homes``.
+    # A class is its own pivot (home) unless it went away to another; a pivot with other members has a radius.
     radii = homes.groupBy("pivot").agg(F.max("d").alias("r"))
-    assigned = ordered.join(homes.select("cid", F.lit(True).alias("away")), "cid", "left")
-    pivots = assigned.join(radii.withColumnRenamed("pivot", "cid"), "cid", "left").where("away is null or r is not null")
-    pivots = pivots.select("cid", "toks", "shared", F.col("away").isNull().alias("home"), F.coalesce("r", F.lit(0.0)).alias("r"))
-    bound = F.lit(1 - radius) - F.col("r")
+    placed = ordered.join(homes.select("cid", F.lit(True).alias("away")), "cid", "left").join(radii.withColumnRenamed("pivot", "cid"), "cid", "left")
+    placed = scratch.save(placed.select("cid", "toks", "shared", F.col("away").isNull().alias("home"), "r"), "placed")
+    first = F.element_at(F.array_intersect("atoks", "btoks"), 1) == F.col("tok")  # a pair is found once, at its first common value
+
+    # Cells of one member: its partners above it, shorter set against longer.
+    t = F.lit(threshold)
+    side = lambda df, x: df.select("tok", "length", *(F.col(c).alias(f"{x}{c}") for c in ("cid", "toks", "n", "pos", "home", "r")))
+    alone = F.when(F.col("acid") < F.col("bcid"), F.col("ahome") & F.col("ar").isNull()).otherwise(F.col("bhome") & F.col("br").isNull())
+    single = (
+        side(_indexed(placed, t, longer=True), "a")
+        .join(side(_probing(placed, t, shorter=True), "b"), ["tok", "length"])
+        .where((F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("acid") < F.col("bcid"))))
+        .where(alone & _met("a", "b", t) & first)
+        .withColumn("similarity", _jaccard("atoks", "btoks"))
+        .where(F.col("similarity") >= threshold - _EPS)
+        .select(F.least("acid", "bcid").alias("cid_a"), F.greatest("acid", "bcid").alias("cid_b"), "similarity")
+    )
+
+    # Cells of several: every class within the pivot's radius and the threshold's.
+    pivots = placed.where("r is not null")
+    bound = F.lit(threshold) - F.col("r")
     cells = (
-        _postings(pivots, bound).select("tok", F.col("cid").alias("p"), F.col("toks").alias("ptoks"), "r", "home", F.col("n").alias("np"), F.col("pos").alias("ppos"))
-        .join(_postings(ordered, F.lit(1 - radius - rho)).select("tok", F.col("cid").alias("y"), "toks", F.col("n").alias("ny"), F.col("pos").alias("ypos")), "tok")
-        # a cell of one member serves only partners above it
-        .where("p != y and (r > 0 or y > p)")
-        .where((F.col("ny") - F.col("ypos")) / F.col("ny") >= bound - _EPS)
-        .where((F.least("np", "ny") / F.greatest("np", "ny")) >= bound - _EPS)
-        .where(F.element_at(F.array_intersect("toks", "ptoks"), 1) == F.col("tok"))  # found once, at the first common value
-        .withColumn("dy", 1 - _jaccard("toks", "ptoks"))
-        .where(F.col("dy") <= F.col("r") + radius + _EPS)
-        .select("p", "y", "dy", "r", "home", F.when(F.col("r") > 0, F.col("toks")).alias("ytoks"))
+        side(_probing(pivots, bound), "a")
+        .join(side(_indexed(placed, F.lit(threshold - rho)), "b"), ["tok", "length"])
+        .where("acid != bcid")
+        .where(_met("a", "b", F.lit(threshold) - F.col("ar")) & first)
+        .withColumn("dy", 1 - _jaccard("atoks", "btoks"))
+        .where(F.col("dy") <= F.col("ar") + radius + _EPS)
+        .select(F.col("acid").alias("p"), F.col("bcid").alias("y"), "dy", F.col("ahome").alias("home"), F.col("btoks").alias("ytoks"))
     )
     cells = scratch.save(cells, "cells")
     direct = cells.where(F.col("home") & (F.col("y") > F.col("p")) & (F.col("dy") <= radius + _EPS)).select(F.col("p").alias("cid_a"), F.col("y").alias("cid_b"), (1 - F.col("dy")).alias("similarity"))
 
     # The other home members against their cell; the pivot itself is part of it.
     xs = homes.join(ordered, "cid").select(F.col("pivot").alias("p"), F.col("cid").alias("x"), F.col("d").alias("dx"), F.col("toks").alias("xtoks"))
-    wide = cells.where("r > 0").select("p", "y", "dy", "ytoks")
-    centre = pivots.where("r > 0").select(F.col("cid").alias("p"), F.col("cid").alias("y"), F.lit(0.0).alias("dy"), F.col("toks").alias("ytoks"))
+    wide = cells.select("p", "y", "dy", "ytoks")
+    centre = pivots.select(F.col("cid").alias("p"), F.col("cid").alias("y"), F.lit(0.0).alias("dy"), F.col("toks").alias("ytoks"))
     inside = (
         xs.join(wide.unionByName(centre), "p")
         .where("y > x")
         .where(F.abs(F.col("dx") - F.col("dy")) <= radius + _EPS)
         .withColumn("similarity", _jaccard("xtoks", "ytoks"))
-        .where(F.col("similarity") >= threshold)
+        .where(F.col("similarity") >= threshold - _EPS)
         .select(F.col("x").alias("cid_a"), F.col("y").alias("cid_b"), "similarity")
     )
-    return members, scratch.save(direct.where(F.col("similarity") >= threshold - _EPS).unionByName(inside), "pairs")
+    return members, scratch.save(single.unionByName(direct.where(F.col("similarity") >= threshold - _EPS)).unionByName(inside), "pairs")
 
 
 def name_set(name: str = "canonical_name", aliases: str = "aliases") -> Column:
