@@ -1,6 +1,6 @@
 """Groups of linked records: connected components on a two-dimensional grid.
 
-Ids are numbered once; the rounds work on longs. In every round vertices are
+Ids are hashed to longs, on which the rounds work. In every round vertices are
 hashed into ``side`` blocks, with another salt each time, and every edge into
 the cell of its block pair, so the edges of a vertex with very many partners
 spread over a whole row of cells. Each cell runs union-find on its own edges,
@@ -109,7 +109,13 @@ def side_of(edges: int, cores: int, cell_edges: int) -> int:
 
 
 def contraction_rounds(edges: DataFrame, scratch: Scratch, cell_edges: int = CELL_EDGES) -> list[DataFrame]:
-    """The parents (``vertex``, ``parent``) found in each round over the saved long edges (``u``, ``v``), u != v."""
+    """The (``vertex``, ``parent``, ``roots``) found in each round over the saved long edges (``u``, ``v``), u != v.
+
+    A root is among its own roots, so one of several cells that disagree about
+    a vertex leaves the disagreement with the root as well. Therefore only the
+    vertices of more than one root have to go on: their parent, after its hop,
+    is linked with the parents of their other roots.
+    """
     rounds: list[DataFrame] = []
     cores = edges.sparkSession.sparkContext.defaultParallelism
     name = None
@@ -118,26 +124,57 @@ def contraction_rounds(edges: DataFrame, scratch: Scratch, cell_edges: int = CEL
         side = side_of(count, cores, cell_edges)
         block = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(number)), F.lit(side))  # noqa: B023, E731
         low, high = F.least(block("u"), block("v")), F.greatest(block("u"), block("v"))
-        cell = (high * (high + 1) / 2 + low).cast("int")
-        local = edges.repartitionById(side * (side + 1) // 2, cell).mapInArrow(_union_find(number), "vertex long, root long, rank long")
+        cell = F.shiftright(high * (high + 1), 1) + low
+        local = edges.repartitionById(side * (side + 1) // 2, cell.cast("int")).mapInArrow(_union_find(number), "vertex long, root long, rank long")
         found = local.groupBy("vertex").agg(F.min(F.struct("rank", "root"))["root"].alias("parent"), F.collect_set("root").alias("roots"))  # at most one root per cell of a row
-        found = scratch.save(found, f"found{number}")
-        if found.where(F.size("roots") > 1).isEmpty():
-            rounds.append(found.select("vertex", "parent"))
+        found = scratch.save(found, f"round{number}")
+        rounds.append(found)
+        several = found.where(F.size("roots") > 1)
+        if name:
+            scratch.drop(name)
+        if several.isEmpty():
             break
-        hop = found.select(F.col("vertex").alias("parent"), F.col("parent").alias("top"))
-        jumped = scratch.save(found.join(hop, "parent").select("vertex", F.col("top").alias("parent"), "roots"), f"round{number}")
-        rounds.append(jumped.select("vertex", "parent"))
-        ends = jumped.select(F.col("parent").alias("a"), F.explode("roots").alias("vertex")).distinct()
-        later = ends.join(rounds[-1].withColumnRenamed("parent", "b"), "vertex").where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        edges = scratch.save(later, f"edges{number}")
-        for done in (f"found{number}", name):
-            if done:
-                scratch.drop(done)
+        later = several.select(F.col("parent").alias("u"), F.explode("roots").alias("v")).where("u != v").distinct()
+        for end in ("u", "v"):
+            hop = several.select(F.col("vertex").alias(end), F.col("parent").alias("top"))
+            later = later.join(hop, end, "left").withColumn(end, F.coalesce("top", end)).drop("top")
         name = f"edges{number}"
+        edges = scratch.save(later.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), name)
     return rounds
 
 
+def composed(rounds: list[DataFrame]) -> DataFrame:
+    """(``vertex``, ``parent``) of all vertices of the first round after the last; joins as much as each round had open."""
+    later: DataFrame | None = None
+    for found in reversed(rounds):
+        own = found.select("vertex", "parent")
+        if later is not None:
+            hop = found.where(F.size("roots") > 1).select("vertex", "parent")
+            last = later.select(F.col("vertex").alias("parent"), F.col("parent").alias("last"))
+            tops = hop.join(last, "parent", "left").select("vertex", F.coalesce("last", "parent").alias("last"))
+            tops = tops.unionByName(later.join(hop, "vertex", "left_anti").select("vertex", F.col("parent").alias("last")))
+            own = own.join(tops.withColumnRenamed("vertex", "parent"), "parent", "left").select("vertex", F.coalesce("last", "parent").alias("parent"))
+        later = own
+    return later
+
+
+def _numbered(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(vertex, name) of every id and the edges between vertices.
+
+    An id's number is its 64-bit hash. The seed is changed until no two ids
+    share a number, which the first does with 2.7 % of chance left at a billion
+    ids.
+    """
+    for seed in range(1000):
+        number = lambda c: F.xxhash64(F.col(c), F.lit(seed))  # noqa: B023, E731
+        ends = pairs.select(F.explode(F.array(F.struct(number("a").alias("vertex"), F.col("a").alias("name")), F.struct(number("b").alias("vertex"), F.col("b").alias("name")))).alias("e")).select("e.*")
+        names = scratch.save(ends.distinct(), f"names{seed}")
+        if names.groupBy("vertex").count().where("count > 1").isEmpty():
+            edges = pairs.where("a != b").select(F.least(number("a"), number("b")).alias("u"), F.greatest(number("a"), number("b")).alias("v")).distinct()
+            return names, scratch.save(edges, "edges")
+    raise RuntimeError("no seed without a collision")
+
+
 def linked_groups(links: DataFrame, left: str, right: str, cell_edges: int = CELL_EDGES) -> DataFrame:
     """One row (``entity_id``, ``group_id``) per id that occurs in ``links``.
 
@@ -148,23 +185,13 @@ def linked_groups(links: DataFrame, left: str, right: str, cell_edges: int = CEL
     an empty result. Other columns are ignored.
     """
     scratch = Scratch(links.sparkSession, "components")
-    pairs = (
-        links.select(F.col(left).cast("string").alias("a"), F.col(right).cast("string").alias("b"))
-        .where(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    pairs = scratch.save(pairs, "pairs")
-    names = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct().withColumn("vertex", F.monotonically_increasing_id()), "names")
-    numbered = pairs.where("a != b")
-    for text, number in (("a", "u"), ("b", "v")):
-        numbered = numbered.join(names.select(F.col("name").alias(text), F.col("vertex").alias(number)), text)
-    edges = scratch.save(numbered.select("u", "v"), "edges")
+    pairs = links.select(F.col(left).cast("string").alias("a"), F.col(right).cast("string").alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    names, edges = _numbered(scratch.save(pairs, "pairs"), scratch)
     rounds = contraction_rounds(edges, scratch, cell_edges)
-    groups = names.select("vertex", F.col("vertex").alias("parent"))
-    for found in rounds:
-        groups = groups.join(found.select(F.col("vertex").alias("parent"), F.col("parent").alias("top")), "parent", "left").select("vertex", F.coalesce("top", "parent").alias("parent"))
-    groups = scratch.save(groups.join(names, "vertex").select("name", "parent"), "groups")
+    if not rounds:
+        return names.select(F.col("name").alias("entity_id"), F.col("name").alias("group_id"))
+    groups = names.join(composed(rounds), "vertex", "left").select("name", F.coalesce("parent", "vertex").alias("parent"))
+    groups = scratch.save(groups, "groups")
     least = groups.groupBy("parent").agg(F.min("name").alias("group_id"))
     return groups.join(least, "parent").select(F.col("name").alias("entity_id"), "group_id")
 

@@ -1,15 +1,17 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import components as comp
-from skein.llm.components import contraction_rounds, linked_groups, match_groups, side_of
+from skein.llm import format_copies as copies
+from skein.llm.components import composed, contraction_rounds, linked_groups, match_groups, side_of
 from skein.llm.format_copies import collapsed, format_copies
 from skein.llm.grouped_split import anneal, assign_splits, record_groups
-from skein.llm.set_pairs import similar_classes, similar_set_links, similar_set_pairs
+from skein.llm.set_pairs import name_set, similar_classes, similar_set_links, similar_set_pairs
 from skein.plans.scratch import Scratch
 
 ENTITY = "row_id long, canonical_name string, aliases array<string>"
@@ -41,6 +43,27 @@ def test_similar_pairs_match_brute_force(spark, seed, threshold):
     assert got == jaccard_pairs(sets, threshold)
 
 
+def test_similar_pairs_of_long_and_short_sets(spark):
+    """Lengths above 32 share a step; similarity at the threshold exactly."""
+    rng = random.Random(9)
+    sets = {}
+    for c in range(30):
+        base = [f"c{c}v{k}" for k in range(rng.choice([3, 5, 10, 33, 60, 120]))]
+        for _ in range(4):
+            sets[len(sets)] = set(base[: rng.randint(max(1, int(0.55 * len(base))), len(base))]) | {f"n{rng.randrange(300)}" for _ in range(rng.randint(0, 3))}
+    rows = [(i, None, sorted(s)) for i, s in sets.items()]
+    assert two(similar_set_pairs(spark.createDataFrame(rows, ENTITY).repartition(4))) == jaccard_pairs(sets, 0.6)
+
+
+def test_hot_values_bring_no_hopeless_pairs_together(spark):
+    """100,000 sets that share two values of three, none similar enough: no posting meets another."""
+    n = 100_000
+    sets = spark.range(n).select(F.col("id").alias("row_id"), F.concat(F.lit("u"), "id").alias("canonical_name"), F.array(F.lit("c1"), F.lit("c2")).alias("aliases"))
+    began = time.perf_counter()
+    assert similar_classes(sets, "row_id", name_set())[1].count() == 0
+    assert time.perf_counter() - began < 120
+
+
 def test_similar_pairs_edges(spark):
     rows = [(1, "A-b", ["a b", None, ""]), (2, None, ["AB!"]), (3, None, None), (4, "--", []), (5, "x", ["y", "z"]), (6, "Z", ["x", "q"]), (7, "ab", ["ab", "ab"]), (None, "ab", None)]
     df = spark.createDataFrame(rows, ENTITY).withColumn("tok", F.lit(1)).withColumn("cid", F.lit(2))
@@ -91,11 +114,8 @@ def test_ordered_chain_needs_few_rounds(spark):
     edges = scratch.save(spark.range(n).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")), "edges")
     rounds = contraction_rounds(edges, scratch, 500)
     assert len(rounds) <= 2 * math.log2(n)
-    print("rounds", len(rounds))
-    up = {}
-    for found in reversed(rounds):
-        up |= {v: up.get(p, p) for v, p in zip(*(found.toPandas()[c].tolist() for c in ("vertex", "parent")))}
-    assert len(up) == n + 1 and len(set(up.values())) == 1
+    got = composed(rounds)
+    assert got.count() == n + 1 and got.select("parent").distinct().count() == 1
 
 
 def test_forest_is_a_union_find(spark):
@@ -134,7 +154,21 @@ def test_format_copies_at_random(spark):
     for i, _, al in rows:
         by.setdefault(al[-1], []).append(i)
     want = sorted((min(g), x) for g in by.values() for x in g if x != min(g))
-    assert two(format_copies(spark.createDataFrame(rows, ENTITY).repartition(7))) == want
+    df = spark.createDataFrame(rows, ENTITY).repartition(7)
+    assert two(format_copies(df)) == want
+
+
+def test_repeat_filter_in_ranges(spark):
+    """Many small segments probed in several passes: no repeat is lost, few others pass, memory per task is fixed."""
+    n = 20_000
+    df = spark.range(n).select(F.col("id").alias("row_id"), F.xxhash64(F.when(F.col("id") % 10 == 0, F.col("id") % 500).otherwise(F.col("id") + 10**6)).alias("h")).repartition(6)
+    df = df.unionByName(spark.createDataFrame([(-1, None)], "row_id long, h long"))
+    segments = n * copies.BITS_PER_ROW // (1 << 10)
+    marked = copies.possible_repeats(df, "h", n, pass_bytes=segments * 128 // 5, size=1 << 10).toPandas()
+    assert len(marked) == n + 1 and not marked[marked["row_id"] == -1]["maybe"].any()
+    rest = marked[marked["row_id"] >= 0]
+    repeated = rest["row_id"] % 10 == 0
+    assert rest[repeated]["maybe"].all() and rest[~repeated]["maybe"].mean() < 0.05
 
 
 ENT = "struct<research_entity_id:string>"
