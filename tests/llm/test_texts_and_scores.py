@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm.distinctive import _fit, best_terms, term_scores
+from skein.llm.distinctive import best_terms, fit_mixtures, term_scores
 from skein.llm.eval_leaks import leak_report, leaked_items
 from skein.llm.mixture import mixture
 from skein.llm.residue import residue, residue_documents, residue_of, without_residue
@@ -90,10 +90,37 @@ def test_term_scores(spark):
 
 def test_two_poisson_fit_separates_rates():
     rng = np.random.default_rng(3)
-    tf = np.where(rng.random(20_000) < 0.1, rng.poisson(6, 20_000), rng.poisson(0.2, 20_000))
-    counts, records = np.unique(tf[tf > 0], return_counts=True)
-    share, high, low = _fit(counts, records, 20_000)
-    assert abs(share - 0.1) < 0.02 and abs(high - 6) < 0.4 and abs(low - 0.2) < 0.05
+    terms, counts, records = [], [], []
+    for i, (share, high, low) in enumerate([(0.1, 6, 0.2), (0.3, 90, 2), (0.02, 12, 0.05)]):  # counts of any height have a bin of their own
+        tf = np.where(rng.random(20_000) < share, rng.poisson(high, 20_000), rng.poisson(low, 20_000))
+        k, n = np.unique(tf[tf > 0], return_counts=True)
+        terms += [i] * len(k)
+        counts, records = np.append(counts, k), np.append(records, n)
+    share, high, low, converged = fit_mixtures(np.array(terms), counts, records, 20_000)
+    assert converged.all()
+    assert np.allclose(share, [0.1, 0.3, 0.02], atol=0.02) and np.allclose(high, [6, 90, 12], rtol=0.06) and np.allclose(low, [0.2, 2, 0.05], rtol=0.2)
+
+
+def test_vectorised_fit_equals_one_term_at_a_time():
+    rng = np.random.default_rng(8)
+    histograms = [np.unique(rng.poisson(rng.choice([0.3, 1, 5]), rng.integers(1, 60)) + 1, return_counts=True) for _ in range(200)]
+    term = np.repeat(np.arange(200), [len(k) for k, _ in histograms])
+    together = fit_mixtures(term, np.concatenate([k for k, _ in histograms]), np.concatenate([n for _, n in histograms]), 500)
+    for i, (k, n) in enumerate(histograms):
+        alone = fit_mixtures(np.zeros(len(k), int), k, n, 500)
+        assert all(np.isclose(a[0], b[i], rtol=1e-9) for a, b in zip(alone, together))
+
+
+def test_elite_records_are_recovered(spark):
+    """Planted: a term occurs about 8 times in its elite records and rarely elsewhere."""
+    rng = np.random.default_rng(5)
+    elite = rng.random(2000) < 0.1
+    times = np.where(elite, rng.poisson(8, 2000), rng.poisson(0.1, 2000))
+    rows = [(i, "filler", ["planted"] * int(x)) for i, x in enumerate(times)]
+    df = spark.createDataFrame(rows, "row_id long, canonical_name string, aliases array<string>")
+    got = {r["row_id"]: r["elite"] for r in term_scores(df).where("term = 'planted'").collect()}
+    right = sum((got.get(i, 0.0) > 0.5) == bool(e) for i, e in enumerate(elite))
+    assert right >= 0.98 * 2000
 
 
 # Leaks
