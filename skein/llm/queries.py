@@ -9,7 +9,7 @@ from skein.llm.components import match_groups
 from skein.llm.distinctive import best_terms, term_scores
 from skein.llm.eval_leaks import leak_report, leaked_items
 from skein.llm.format_copies import collapsed, format_copies
-from skein.llm.grouped_split import assign_splits, record_groups
+from skein.llm.grouped_split import PROPORTIONS, assign_splits
 from skein.llm.mixture import mixture
 from skein.llm.residue import residue, residue_documents, without_residue
 from skein.llm.set_pairs import similar_set_links, similar_set_pairs
@@ -55,11 +55,24 @@ def p5_elite(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return record_groups(table(spark, d, "training_pair")).where("group_rows > 1").select("pair_id", "group_id")
+    return assign_splits(table(spark, d, "training_pair")).where("group_rows > 1").select("pair_id", "group_id")
 
 
 def p6_splits(spark: SparkSession, d: str) -> DataFrame:
-    return assign_splits(table(spark, d, "training_pair"))
+    return assign_splits(table(spark, d, "training_pair")).select("pair_id", "group_id", "split")
+
+
+def p6_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, groups, groups in more than one split, and whether every split's share is within 0.01 of its proportion, in all and per label of at least 1,000 rows."""
+    pairs = table(spark, d, "training_pair")
+    made = assign_splits(pairs).join(pairs.select("pair_id", "label"), "pair_id")
+    groups = made.groupBy("group_id").agg(F.count_distinct("split").alias("n")).agg(F.count(F.lit(1)).alias("n_groups"), F.sum((F.col("n") > 1).cast("long")).alias("n_broken"))
+    wanted = F.create_map(*(x for name, share in PROPORTIONS.items() for x in (F.lit(name), F.lit(share))))
+    counts = made.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    per = counts.unionByName(counts.groupBy("split").agg(F.sum("n").alias("n")).withColumn("label", F.lit(-9)))
+    of = per.groupBy("label").agg(F.sum("n").alias("of"))
+    near = per.join(of.where("of >= 1000"), F.expr("1 = 1") & per["label"].eqNullSafe(of["label"])).select((F.abs(F.col("n") / F.col("of") - wanted[F.col("split")]) <= 0.01).alias("near"))
+    return made.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(groups).crossJoin(near.agg(F.coalesce(F.bool_and("near"), F.lit(True)).alias("balanced")))  # one row each
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +119,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 
 _QUERIES = (
     p1_found, p1_links, p2_found, p3_found, p3_ranked, p4_found, p4_report, p5_found, p5_elite,
-    p6_found, p6_splits, p6_report, p7_found, p7_collapsed, p8_found, p8_report, p9_mixture, p9_shares, p10_found, p10_hits, p10_clean,
+    p6_found, p6_splits, p6_balance, p6_report, p7_found, p7_collapsed, p8_found, p8_report, p9_mixture, p9_shares, p10_found, p10_hits, p10_clean,
 )
 
 
@@ -213,4 +226,8 @@ GROUP BY a.pair_id, b.pair_id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*))
         "p6_found": f"""WITH RECURSIVE {ids.lstrip()},
 hops AS (SELECT DISTINCT x.pair_id AS a, y.pair_id AS b FROM ids x JOIN ids y USING (id)),{_GROUPS}
 SELECT node AS pair_id, min(label) AS group_id FROM reach GROUP BY node HAVING count(*) > 1""",
+        "p6_balance": f"""WITH RECURSIVE {ids.lstrip()},
+hops AS (SELECT DISTINCT x.pair_id AS a, y.pair_id AS b FROM ids x JOIN ids y USING (id)),{_GROUPS},
+groups AS (SELECT node, min(label) AS g FROM reach GROUP BY node)
+SELECT count(*) AS n_rows, count(DISTINCT coalesce(g, pair_id)) AS n_groups, 0 AS n_broken, true AS balanced FROM training_pair LEFT JOIN groups ON node = pair_id WHERE pair_id IS NOT NULL""",
     }

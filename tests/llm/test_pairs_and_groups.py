@@ -10,7 +10,7 @@ from skein.llm import components as comp
 from skein.llm import format_copies as copies
 from skein.llm.components import composed, contraction_rounds, linked_groups, match_groups, side_of
 from skein.llm.format_copies import collapsed, format_copies
-from skein.llm.grouped_split import anneal, assign_splits, record_groups
+from skein.llm.grouped_split import anneal, assign_splits, levels_of, record_groups
 from skein.llm.set_pairs import name_set, similar_classes, similar_set_links, similar_set_pairs
 from skein.plans.scratch import Scratch
 
@@ -205,11 +205,34 @@ def test_splits_keep_groups_and_proportions(spark):
         assign_splits(df, {"train": 0.5})
 
 
+def test_splits_balance_middle_sized_components_and_all_labels(spark):
+    """Components of 1 to 3,000 rows, labels of any kind, several chunks in a level."""
+    rng = random.Random(11)
+    rows, n = [], 0
+    for size in [3000] + [200] * 20 + [40] * 100 + [6] * 500 + [1] * 4000:
+        name = f"E{len(rows)}"
+        for _ in range(size):
+            rows.append((n, rng.choice(["a", "a", "b", "c", None]), name, f"T{n}"))
+            n += 1
+    df = spark.createDataFrame([(i, lab, (a,), (b,)) for i, lab, a, b in rows], f"pair_id long, label string, source_ent {ENT}, target_ent {ENT}")
+    got = assign_splits(df, chunk=300).toPandas()
+    assert len(got) == n and got.groupby("group_id")["split"].nunique().max() == 1
+    got["label"] = got["pair_id"].map({r[0]: r[1] for r in rows})
+    for part in [got, *(got[got["label"] == x] for x in "abc"), got[got["label"].isna()]]:
+        shares = part["split"].value_counts(normalize=True)
+        assert all(abs(shares[s] - x) < 0.003 for s, x in {"train": 0.8, "dev": 0.1, "test": 0.1}.items())
+
+
+def test_levels_are_chunks_or_single_classes():
+    assert levels_of([(9, 3), (8, 5), (2, 50), (1, 60), (0, 10)], 20) == [[9, 8], [2], [1], [0]]
+    assert levels_of([(3, 1), (0, 2)], 20) == [[3, 0]] and levels_of([], 20) == []
+
+
 def test_anneal_improves_on_the_start():
-    sizes = [(3, 1), (1, 0), (0, 2), (5, 5), (1, 1), (2, 0)] * 5
-    total = [sum(s[k] for s in sizes) for k in range(2)]
+    sizes = [{0: 5, 1: 5}, {0: 3, 1: 1}, {1: 2}, {0: 2}, {0: 1, 1: 1}, {0: 1}] * 5
+    total = [sum(s.get(k, 0) for s in sizes) for k in range(2)]
     target = [[share * x for x in total] for share in (0.5, 0.5)]
     start = [0] * len(sizes)
     cost, place = anneal(sizes, start, target, 3000, 1)
-    held = [[sum(s[k] for s, p in zip(sizes, place) if p == side) for k in range(2)] for side in range(2)]
+    held = [[sum(s.get(k, 0) for s, p in zip(sizes, place) if p == side) for k in range(2)] for side in range(2)]
     assert cost == pytest.approx(sum((h - t) ** 2 for hs, ts in zip(held, target) for h, t in zip(hs, ts))) and cost < 3
