@@ -38,13 +38,12 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
     return a.select(trim("c0").alias("s_id"), trim("c1").alias("t_id"), F.col("c2").alias("score"), F.col("c3").alias("provenance"))
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    e = _named(spark, d)
-    return blocking.candidate_scores(e, e, CFG, ngrams=True, definitions=True)
+def _lists(spark: SparkSession, d: str) -> blocking.TokenLists:
+    return blocking.token_lists(_named(spark, d), None, CFG)
 
 
 def _top(spark: SparkSession, d: str, k: int = CFG.top_k) -> DataFrame:
-    return blocking.ranked(_candidates(spark, d), k)
+    return blocking.top_candidates(_lists(spark, d), k)
 
 
 # Strings
@@ -206,7 +205,7 @@ def candidate_topk(spark, d):
 
 def string_equiv(spark, d):
     e = _named(spark, d)
-    return blocking.exact_matches(e, e, _candidates(spark, d))
+    return blocking.exact_matches(e, e, _lists(spark, d))
 
 
 def unmatched_source(spark, d):
@@ -218,9 +217,9 @@ def unmatched_target(spark, d):
 
 
 def remaining_candidates(spark, d):
-    e, scored = _named(spark, d), _candidates(spark, d)
-    exact = blocking.exact_matches(e, e, scored)
-    return blocking.remaining_candidates(blocking.ranked(scored, CFG.top_k), exact).select("s_kb", "s_id", "t_kb", "t_id", "rank")
+    e, lists = _named(spark, d), _lists(spark, d)
+    exact = blocking.exact_matches(e, e, lists)
+    return blocking.remaining_candidates(blocking.top_candidates(lists, CFG.top_k), exact).select("s_kb", "s_id", "t_kb", "t_id", "rank")
 
 
 def named_pairs(spark, d):

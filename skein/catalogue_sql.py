@@ -22,7 +22,8 @@ def _tok(s: str, stop: bool = True) -> str:
 
 
 def _strip(s: str) -> str:
-    return f"regexp_replace({s}, '^\\s+|\\s+$', '', 'g')"
+    space = "[\\s\\x0b\\x85\\p{Z}]+"  # white space of any kind
+    return f"regexp_replace({s}, '^{space}|{space}$', '', 'g')"
 
 
 def _norm(s: str) -> str:
@@ -59,27 +60,27 @@ named AS (
   FROM latest WHERE length(research_entity_id) > 0 AND length(canonical_name) > 0)"""
 
 
-def _tokens(definitions: bool) -> str:
-    parts = f"flatten(list_transform(aliases, lambda a: {_tok('a')}))"
-    if definitions:
-        parts = f"list_concat({parts}, {_tok('definition')})"
+def _tokens(ngrams: bool) -> str:
+    parts = f"list_concat(flatten(list_transform(aliases, lambda a: {_tok('a')})), {_tok('definition')})"
+    if ngrams:
+        parts = f"list_concat({parts}, flatten(list_transform(list_filter(aliases, lambda a: a IS NOT NULL), lambda a: {_grams(_norm('a'), 5)})))"
     return f"""
 toks AS (SELECT DISTINCT kb, research_entity_id, unnest({parts}) AS token FROM named),
 sizes AS (SELECT kb, count(*) AS n FROM named GROUP BY kb),
 idfs AS (SELECT kb, token, count(*) AS df, any_value(n) AS n, ln(any_value(n)::DOUBLE / count(*) + 1) AS idf FROM toks JOIN sizes USING (kb) GROUP BY kb, token)"""
 
 
-_SCORED = f"""{_NAMED},{_tokens(False)},
+_SCORED = f"""{_NAMED},{_tokens(True)},
 rare AS (SELECT t.*, idf FROM toks t JOIN idfs i ON t.kb = i.kb AND t.token = i.token WHERE df * 19 <= n),
-scored AS (
+scored AS MATERIALIZED (
   SELECT s.kb AS s_kb, s.research_entity_id AS s_id, t.kb AS t_kb, t.research_entity_id AS t_id, sum(t.idf) AS score
   FROM rare s JOIN rare t ON s.token = t.token AND s.kb < t.kb GROUP BY 1, 2, 3, 4)"""
 _RANKED = f"""{_SCORED},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY s_kb, s_id, t_kb ORDER BY round(score, 6) DESC, t_id) AS rank FROM scored)"""
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY s_kb, s_id, t_kb ORDER BY round(score, 6) DESC, t_id) AS rank FROM scored)"""
 _KEYS = "list_transform(aliases, lambda a: replace(replace(lower(a), '_', ' '), '-', ''))"
 _EXACT = f"""
 keyed AS (SELECT kb, research_entity_id, {_KEYS} AS k FROM named),
-exact AS (
+exact AS MATERIALIZED (
   SELECT s_kb, s_id, t_kb, t_id FROM scored JOIN keyed a ON a.kb = s_kb AND a.research_entity_id = s_id JOIN keyed b ON b.kb = t_kb AND b.research_entity_id = t_id
   WHERE list_has_any(a.k, b.k))"""
 _TRIM = "regexp_replace({0}, '^[ \\t]+|[ \\t]+$', '', 'g')"
@@ -202,7 +203,7 @@ syn AS (
 keys AS (SELECT DISTINCT kb, research_entity_id, unnest(list_transform(coalesce(aliases, []), lambda a: {_norm('a')})) AS alias FROM latest)
 SELECT kb, research_entity_id, source, array_to_string(list_sort(list(DISTINCT synonym)), '|') AS synonyms FROM keys JOIN syn USING (alias) GROUP BY 1, 2, 3""",
     "summary_enrich": f"""WITH {_LATEST.strip()},
-docs AS (SELECT entity_id, arg_min(substring(text, 1, 80), doc_id) AS summary FROM documents WHERE entity_id IS NOT NULL AND length(text) > 0 GROUP BY entity_id),
+docs AS (SELECT entity_id, arg_min(text, doc_id) AS summary FROM documents WHERE entity_id IS NOT NULL AND length(text) > 0 GROUP BY entity_id),
 names AS (SELECT canonical_name AS query, min(research_entity_id) AS entity_id FROM latest WHERE canonical_name IS NOT NULL GROUP BY canonical_name),
 s AS (SELECT query, summary FROM names JOIN docs USING (entity_id))
 SELECT kb, research_entity_id, length(CASE WHEN length(coalesce(definition, '')) < 5 AND summary IS NOT NULL THEN summary ELSE definition END) AS n_definition FROM latest LEFT JOIN s ON canonical_name = query""",
@@ -212,17 +213,17 @@ SELECT l.kb, l.research_entity_id, len(CASE WHEN len(c.contexts) > 0 THEN c.cont
     "nonempty_filter": "SELECT pair_id, label FROM training_pair WHERE length(source_ent.definition) > 0 AND length(target_ent.definition) > 0",
     "context_counts": """SELECT kb, count(*) AS n_entities, count(*) FILTER (len(coalesce(other_contexts, [])) > 0) AS with_context, sum(len(coalesce(other_contexts, [])))::BIGINT AS n_contexts,
 count(*) FILTER (length(definition) > 0 AND definition <> '<s>') AS with_definition FROM kb_entity GROUP BY kb""",
-    "doc_frequency_idf": f"WITH {_NAMED.strip()},{_tokens(True)} SELECT kb, token, df, round(idf, 6) AS idf FROM idfs",
+    "doc_frequency_idf": f"WITH {_NAMED.strip()},{_tokens(False)} SELECT kb, token, df, round(idf, 6) AS idf FROM idfs",
     "candidate_topk": f"WITH {_RANKED.strip()} SELECT s_kb, s_id, t_kb, t_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 100",
     "string_equiv": f"WITH {_SCORED.strip()},{_EXACT} SELECT * FROM exact",
     "unmatched_source": f"WITH {_SCORED.strip()},{_EXACT} SELECT kb, research_entity_id FROM named WHERE (kb, research_entity_id) NOT IN (SELECT (s_kb, s_id) FROM exact)",
     "unmatched_target": f"WITH {_SCORED.strip()},{_EXACT} SELECT kb, research_entity_id FROM named WHERE (kb, research_entity_id) NOT IN (SELECT (t_kb, t_id) FROM exact)",
-    "remaining_candidates": f"""WITH {_RANKED.strip()},{_EXACT} SELECT s_kb, s_id, t_kb, t_id, rank FROM ranked r WHERE rank <= 10
-AND NOT EXISTS (SELECT 1 FROM exact e WHERE e.s_kb = r.s_kb AND e.s_id = r.s_id) AND NOT EXISTS (SELECT 1 FROM exact e WHERE e.t_kb = r.t_kb AND e.t_id = r.t_id)""",
+    "remaining_candidates": f"""WITH {_RANKED.strip()},{_EXACT} SELECT s_kb, s_id, t_kb, t_id, rank FROM ranked r WHERE rank <= 100
+AND (s_kb, s_id) NOT IN (SELECT (s_kb, s_id) FROM exact) AND (t_kb, t_id) NOT IN (SELECT (t_kb, t_id) FROM exact)""",
     "named_pairs": f"""WITH {_LATEST.strip()},{_GOLD} SELECT DISTINCT s_id, t_id, a.canonical_name AS s_name, b.canonical_name AS t_name FROM gold JOIN latest a ON a.research_entity_id = s_id JOIN latest b ON b.research_entity_id = t_id
 WHERE score > 0 AND a.canonical_name <> a.research_entity_id AND b.canonical_name <> b.research_entity_id""",
     "recall_at_k": f"""WITH {_RANKED.strip()},{_BETWEEN},
-marked AS (SELECT rank, g.s_id IS NOT NULL AS hit FROM ranked r LEFT JOIN between_kbs g ON r.s_id = g.s_id AND r.t_id = g.t_id WHERE rank <= 100),
+marked AS (SELECT rank, g.s_id IS NOT NULL AS hit FROM ranked r LEFT JOIN between_kbs g ON r.s_id = g.s_id AND r.t_id = g.t_id WHERE rank <= 500),
 per_k AS (SELECT k, count(*) AS candidates, count(*) FILTER (hit) AS hits FROM marked, unnest([1, 2, 5, 10, 20, 50, 100, 200, 500]) AS ks(k) WHERE rank <= k GROUP BY k)
 SELECT k, candidates, hits, round(hits / candidates, 6) AS precision, round(hits / (SELECT count(*) FROM between_kbs), 6) AS recall FROM per_k""",
     "missed_pairs": f"""WITH {_BEST.strip()},{_BETWEEN},{_LATEST}
@@ -266,7 +267,7 @@ FROM valid v JOIN region s ON s.start_id = v.s_id JOIN region t ON t.start_id =
     "cross_kb_pairs": f"""WITH {_ATOMS.strip()}, x AS (SELECT DISTINCT cui, sab, sab || ':' || code AS id FROM atoms)
 SELECT DISTINCT a.id AS s_id, b.id AS t_id, 1 AS label, 'R1:' || a.cui AS provenance FROM x a JOIN x b ON a.cui = b.cui AND a.sab < b.sab""",
     "collapse_concepts": f"""WITH {_ATOMS.strip()} SELECT sab || ':' || code AS research_entity_id, arg_min(str, (r, ord, str)) AS canonical_name, array_to_string(list_sort(list(DISTINCT lower(str))), '|') AS aliases FROM atoms GROUP BY sab, code""",
-    "definitions_concat": f"""WITH {_LATEST.strip()} SELECT research_entity_id, md5(string_agg(substring(text, 1, 20), ' ' ORDER BY doc_id)) AS digest FROM documents JOIN latest ON entity_id = research_entity_id WHERE text IS NOT NULL GROUP BY research_entity_id""",
+    "definitions_concat": f"""WITH {_LATEST.strip()} SELECT research_entity_id, md5(string_agg(text, ' ' ORDER BY doc_id)) AS digest FROM documents JOIN latest ON entity_id = research_entity_id WHERE text IS NOT NULL GROUP BY research_entity_id""",
     "entity_relations": f"""WITH {_EDGES.strip()},{_LATEST} SELECT src_id, dst_id, relation_type, relation_type IN ('SIB', 'RO') AS symmetric FROM edges
 JOIN latest a ON a.research_entity_id = src_id JOIN latest b ON b.research_entity_id = dst_id WHERE relation_type NOT IN ('', 'NULL')""",
     "distinct_mappings": f"WITH {_GOLD.strip()} SELECT DISTINCT * FROM gold",

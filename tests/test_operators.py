@@ -76,7 +76,7 @@ def test_enrichment(spark):
 
 def test_small_kb_has_no_candidates(spark, two_kbs):
     s, t = two_kbs
-    assert blocking.candidate_scores(s.limit(18), t.limit(18), pairs=F.lit(True)).count() == 0  # 19 df > 18 for every token
+    assert blocking.candidate_scores(blocking.token_lists(s.limit(18), t.limit(18))).count() == 0  # 19 df > 18 for every token
 
 
 def test_candidates_recall_and_exact(spark, two_kbs):
@@ -84,14 +84,15 @@ def test_candidates_recall_and_exact(spark, two_kbs):
     gold = spark.createDataFrame([(f"S:{i}", f"T:{i}", 1.0) for i in range(40)], SCORES)
     curve = {r["k"]: r for r in Engine(spark).evaluate_candidates(s, t, gold).collect()}
     assert curve[1]["recall"] == 1.0 and curve[500]["recall"] == 1.0
-    cands = blocking.candidate_scores(s, t, pairs=F.lit(True))
-    exact = blocking.exact_matches(s, t, cands, pairs=F.lit(True))
+    lists = blocking.token_lists(s, t)
+    cands = blocking.candidate_scores(lists)
+    exact = blocking.exact_matches(s, t, lists, pairs=F.lit(True))
     assert pairs(exact) == sorted((f"S:{i}", f"T:{i}") for i in range(1, 40, 2))
     assert pairs(blocking.exact_matches(s, t, pairs=F.lit(True))) == pairs(exact)
     rest = blocking.remaining_candidates(blocking.ranked(cands, 100), exact)
     assert not {r["s_id"] for r in rest.collect()} & {r["s_id"] for r in exact.collect()}
     assert blocking.unmatched(s, exact, "s").count() == 20
-    shuffled = blocking.candidate_scores(s.repartition(7), t.repartition(3, "canonical_name"), pairs=F.lit(True))
+    shuffled = blocking.candidate_scores(blocking.token_lists(s.repartition(7), t.repartition(3, "canonical_name")))
     top = lambda c: sorted(tuple(r) for r in blocking.ranked(c, 3).select("s_id", "t_id", "rank").collect())
     assert top(shuffled) == top(cands)
     missed = blocking.missed_pairs(gold, exact.limit(0), s.unionByName(t))
