@@ -1,21 +1,28 @@
 """The N best items of every group by merging sorted runs.
 
-Scan tasks cut their rows into runs, order each by (bucket, group, score, item)
-and keep a group's first N items of a run. The shuffle stores the runs by
-bucket. One task per bucket merges its runs with a loser tree; once a group has
-its N items, every run seeks to its next group.
+Scan tasks cut their rows into runs, order each by (hash of the group, group,
+score, item), keep a group's first N items of a run and store the runs in the
+shared folder. A bucket is a range of hashes; there are as many as the stored
+rows need, so a task holds about ``BUCKET_ROWS`` rows whatever the table, and a
+run is in bucket order for any number of them. One task per bucket merges its
+pieces of the runs with a loser tree; once a group has its N items, every run
+seeks to its next group.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a run.
-RUN_ROWS = 500_000
+from skein.plans.scratch import Scratch
+
+#: Rows of a run, rows that a bucket is sized for, hashes.
+RUN_ROWS, BUCKET_ROWS, _HASHES = 500_000, 250_000, 1 << 30
 
 
 def _firsts(*columns: pa.Array) -> np.ndarray:
@@ -37,7 +44,7 @@ def _runs(n: int):
         t = t.take(pc.sort_indices(t, [("grp", "ascending"), ("item", "ascending"), ("score", "descending")]))
         cols = [t.column(c).combine_chunks() for c in ("grp", "item")]
         t = t.filter(pa.array(_firsts(*cols)))  # a pair counts once, with its best score
-        t = t.take(pc.sort_indices(t, [("bucket", "ascending"), ("grp", "ascending"), ("score", "descending"), ("item", "ascending")]))
+        t = t.take(pc.sort_indices(t, [("h", "ascending"), ("grp", "ascending"), ("score", "descending"), ("item", "ascending")]))
         new = _firsts(t.column("grp").combine_chunks())
         at = np.arange(len(new))
         rank = at - np.maximum.accumulate(np.where(new, at, 0))
@@ -70,16 +77,16 @@ def _runs(n: int):
 class _Run:
     """A cursor on one sorted run of a bucket."""
 
-    __slots__ = ("groups", "items", "scores", "ends", "at", "key")
+    __slots__ = ("hashes", "groups", "items", "scores", "ends", "at", "key")
 
-    def __init__(self, groups: list, items: list, scores: list, ends: list):
-        self.groups, self.items, self.scores, self.ends, self.at = groups, items, scores, ends, 0
+    def __init__(self, hashes: list, groups: list, items: list, scores: list, ends: list):
+        self.hashes, self.groups, self.items, self.scores, self.ends, self.at = hashes, groups, items, scores, ends, 0
         self.load()
 
     def load(self) -> None:
         """The head's key, or none at the end of the run."""
         i = self.at
-        self.key = (self.groups[i], -self.scores[i], self.items[i]) if i < len(self.groups) else None
+        self.key = (self.hashes[i], self.groups[i], -self.scores[i], self.items[i]) if i < len(self.groups) else None
 
     def next(self) -> None:
         self.at += 1
@@ -119,20 +126,20 @@ class LoserTree:
 
 
 def merge_runs(runs: list[_Run], n: int):
-    """(group, item, score, rank) of each group's first ``n`` distinct items."""
+    """(hash, group, item, score, rank) of each group's first ``n`` distinct items."""
     if not runs:
         return
     tree = LoserTree(runs)
     while (head := runs[tree.winner]).key is not None:
-        group, taken, done = head.key[0], set(), False
-        while (head := runs[tree.winner]).key is not None and head.key[0] == group:
+        group, taken, done = head.key[:2], set(), False
+        while (head := runs[tree.winner]).key is not None and head.key[:2] == group:
             if done:
                 head.seek()
             else:
-                item = head.key[2]
+                item = head.key[3]
                 if item not in taken:
                     taken.add(item)
-                    yield group, item, -head.key[1], len(taken)
+                    yield *group, item, -head.key[2], len(taken)
                     done = len(taken) == n
                 head.next() if not done else head.seek()
             tree.play(tree.winner)
@@ -143,38 +150,34 @@ def _loaded(part: pa.Table) -> _Run:
     groups = part.column("grp").combine_chunks()
     starts = np.flatnonzero(_firsts(groups))
     ends = np.repeat(np.append(starts[1:], len(groups)), np.diff(np.append(starts, len(groups))))
-    return _Run(groups.to_pylist(), part.column("item").to_pylist(), part.column("score").to_pylist(), ends.tolist())
+    return _Run(part.column("h").to_pylist(), groups.to_pylist(), part.column("item").to_pylist(), part.column("score").to_pylist(), ends.tolist())
 
 
 def _merge(n: int, schema: pa.Schema):
-    """Tasks may hold several buckets; each is merged by itself."""
+    """Merges the runs of one bucket."""
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
-        buckets, keys = table.column("bucket").to_numpy(), table.column("run").to_numpy()
-        edges = [0, *(np.flatnonzero((np.diff(keys) != 0) | (np.diff(buckets) != 0)) + 1).tolist(), len(keys)]
+        table = pa.Table.from_batches(batches)
+        keys = table.column("run").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        runs = [_loaded(table.slice(i, j - i)) for i, j in zip(edges, edges[1:])]
         out: list[list] = [[], [], [], []]
-        at = 0
-        while at < len(edges) - 1:
-            runs, bucket = [], buckets[edges[at]]
-            while at < len(edges) - 1 and buckets[edges[at]] == bucket:
-                runs.append(_loaded(table.slice(edges[at], edges[at + 1] - edges[at])))
-                at += 1
-            for row in merge_runs(runs, n):
-                for column, value in zip(out, row):
-                    column.append(value)
-                if len(out[0]) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
-                    out = [[], [], [], []]
+        for row in merge_runs(runs, n):
+            for column, value in zip(out, row[1:]):
+                column.append(value)
+            if len(out[0]) >= 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                out = [[], [], [], []]
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
     return run
 
 
-def top_items(scores: DataFrame, n: int = 5, group: str = "s_id", item: str = "t_id", score: str = "score", low: float = 0.0, high: float = 1.0, buckets: int | None = None) -> DataFrame:
+def top_items(scores: DataFrame, n: int = 5, group: str = "s_id", item: str = "t_id", score: str = "score", low: float = 0.0, high: float = 1.0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The ``n`` best items of every group: (``group``, ``item``, ``score``, ``rank``).
 
     Best means highest score, ties by smaller item in string order. Scores
@@ -186,14 +189,14 @@ def top_items(scores: DataFrame, n: int = 5, group: str = "s_id", item: str = "t
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    spark = scores.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     s = F.col(score).cast("double")
     rows = scores.where(F.col(group).isNotNull() & F.col(item).isNotNull() & s.between(low, high) & ~F.isnan(s)).select(
-        F.pmod(F.xxhash64(group), F.lit(buckets)).cast("int").alias("bucket"), F.col(group).alias("grp"), F.col(item).alias("item"), (s + F.lit(0.0)).alias("score")
+        F.pmod(F.xxhash64(group), F.lit(_HASHES)).cast("int").alias("h"), F.col(group).alias("grp"), F.col(item).alias("item"), (s + F.lit(0.0)).alias("score")
     )
-    runs = rows.mapInArrow(_runs(n), "bucket int, grp string, item string, score double, run long, pos int")
-    stored = runs.repartition(buckets, "bucket").sortWithinPartitions("bucket", "run", "pos")
+    runs = Scratch(scores.sparkSession, "top").save(rows.mapInArrow(_runs(n), "h int, grp string, item string, score double, run long, pos int"), "runs")
+    buckets = max(scores.sparkSession.sparkContext.defaultParallelism, math.ceil(runs.count() / bucket_rows))
+    bucket = F.floor(F.col("h").cast("long") * buckets / _HASHES).cast("int")
+    stored = runs.repartitionById(buckets, bucket).sortWithinPartitions("run", "pos")
     out = pa.schema([("grp", pa.string()), ("item", pa.string()), ("score", pa.float64()), ("rank", pa.int32())])
     merged = stored.drop("pos").mapInArrow(_merge(n, out), "grp string, item string, score double, rank int")
     return merged.select(F.col("grp").alias(group), F.col("item").alias(item), F.col("score").alias(score), "rank")
