@@ -20,6 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+try:
+    import ahocorasick
+except ImportError:  # the literals are then looked for one after another
+    ahocorasick = None
+
 # ---------------------------------------------------------------- placeholders
 
 _IDENT = r"[A-Za-z][A-Za-z0-9]*(?:[_.\-][A-Za-z0-9]+)*"
@@ -165,7 +170,7 @@ _FILLER_SIGNS = re.compile(
     re.IGNORECASE,
 )
 #: One word over and over.
-_REPEATED = re.compile(r"\b([a-z]{4,})(?: \1){4}")
+_REPEATED = re.compile(r"\b([a-z]{4,}+)(?: \1){4}")
 #: (kind, forms anywhere, forms where a clause begins, literals of which every hit holds at least one; they spare most texts the expressions).
 _MESSAGES = (
     (
@@ -189,6 +194,34 @@ _MESSAGES = (
 )
 KINDS = ("placeholders", "filler", "errors", "scripts")
 
+
+def _automaton():
+    """All literals, each with the places of its kinds in ``_MESSAGES``; one pass over a text finds them."""
+    automaton, kinds = ahocorasick.Automaton(), {}
+    for i, (*_, literals) in enumerate(_MESSAGES):
+        for x in literals:
+            kinds.setdefault(x, set()).add(i)
+    for x, places in kinds.items():
+        automaton.add_word(x, frozenset(places))
+    automaton.make_automaton()
+    return automaton
+
+
+_LITERALS = _automaton() if ahocorasick else None
+
+
+def _possible(low: str) -> set[int]:
+    """The places in ``_MESSAGES`` of the kinds of which the text holds a literal."""
+    if _LITERALS is None:
+        return {i for i, (*_, literals) in enumerate(_MESSAGES) if any(map(low.__contains__, literals))}
+    found: set[int] = set()
+    for _, places in _LITERALS.iter(low):
+        found |= places
+        if len(found) == len(_MESSAGES):
+            break
+    return found
+
+
 # ------------------------------------------------------------------- discounts
 
 _TOLD = re.compile(
@@ -258,9 +291,10 @@ def residue_of(text: str | None) -> dict[str, int]:
         )
     begins: list[int] | None = None
     low = " ".join(lower.split())
-    for kind, signs, clauses, literals in _MESSAGES:
+    possible = _possible(low)
+    for place, (kind, signs, clauses, _) in enumerate(_MESSAGES):
         spans = {m.start(): m.end() for m in _REPEATED.finditer(prose.lower())} if kind == "filler" else {}
-        if not any(map(low.__contains__, literals)):
+        if place not in possible:
             found[kind] = sum(not _discounted(prose, a, b) for a, b in spans.items())
             continue
         if begins is None:
