@@ -314,6 +314,20 @@ def neighborhood_1iter(spark, d):
     return out.select("s_id", "t_id", F.round("score", 6).alias("score"))
 
 
+def neighborhood_5iter(spark, d):
+    r = propagate.regions(table(spark, d, "kb_relation"), _entities(spark, d))
+    return propagate.propagate(_valid_scores(spark, d), r, r, 5).select("s_id", "t_id", F.round("score", 6).alias("score"))
+
+
+def engine_align(spark, d):
+    """The first knowledge base by name against all others: train, block, match, score, assign, evaluate."""
+    e, engine = _entities(spark, d), Engine(spark)
+    fitted = engine.train(table(spark, d, "training_pair", heavy=True).where("label is not null and split = 'train'"))
+    first = e.agg(F.min("kb")).first()[0]
+    sides = [kb.KnowledgeBase(n, e.where((F.col("kb") == first) == own)) for n, own in (("source", True), ("target", False))]
+    return engine.align(*sides, fitted, "best", _gold_between(spark, d)).pairs
+
+
 # Terminology
 
 
@@ -459,17 +473,20 @@ _QUERIES = (
     valid_entities, valid_relations, entity_names, relations_of, merge_entities, repointed_relations, entity_json, source_urls, synonym_enrich, summary_enrich, context_attach,
     nonempty_filter, context_counts, sampled_contexts, doc_frequency_idf, candidate_topk, string_equiv, unmatched_source, unmatched_target, remaining_candidates, named_pairs,
     recall_at_k, missed_pairs, model_metrics, align_best, align_all, align_one_to_one, confusion_metrics, confusion_confident, gold_compare, mapping_stats, region_2hop,
-    neighborhood_1iter, cross_kb_pairs, collapse_concepts, definitions_concat, entity_relations, distinct_mappings, hard_easy_negatives, stratified_split_counts, stratified_split,
+    neighborhood_1iter, neighborhood_5iter, engine_align, cross_kb_pairs, collapse_concepts, definitions_concat, entity_relations, distinct_mappings, hard_easy_negatives, stratified_split_counts, stratified_split,
     vocab_topn, word_index, encoded_documents, cosine_similarity, max_sim_pair, text_tokens, mention_spans, span_union, bilou_roundtrip, daily_scores,
 )
 _FEATURES = {"name_features": name_features, "nlp_features": nlp_features, "alias_features": alias_features, "synonym_features": synonym_features, "root_features": root_features}
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _QUERIES} | _FEATURES
+    from skein import catalogue_files
+
+    return {f.__name__: f for f in _QUERIES} | _FEATURES | catalogue_files.queries()
 
 
 def oracle_sql() -> dict[str, str]:
+    from skein import catalogue_files
     from skein.catalogue_sql import SQL
 
-    return dict(SQL)
+    return dict(SQL) | catalogue_files.oracle_sql()

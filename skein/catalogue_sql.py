@@ -118,8 +118,22 @@ ids AS (SELECT DISTINCT list_last(string_split(provenance, ':')) AS cui, unnest(
 atoms AS (
   SELECT cui, split_part(id, ':', 1) AS sab, list_last(string_split(id, ':')) AS code, id, str, CASE length(str) % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS r, length(str) AS ord
   FROM ids JOIN (SELECT research_entity_id AS id, unnest(aliases) AS str FROM latest) USING (id) WHERE str IS NOT NULL AND list_last(string_split(id, ':')) <> 'NOCODE')"""
-_TEXT_TOKENS = """
-sents AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS sent FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?]\\s+') AS s FROM documents WHERE length(text) > 0))"""
+_SURFACE = r"[\p{L}\p{N}]+|[^\s\x0b\p{L}\p{N}]"
+TOKEN_COUNTS = rf"""SELECT doc_id::VARCHAR AS doc_id, len(regexp_extract_all(text, '{_SURFACE}')) AS n_tokens, len(regexp_extract_all(regexp_replace(text, '[\s\x0b]+$', ''), '[.!?][\s\x0b]+')) AS last_sent
+FROM documents WHERE len(regexp_extract_all(text, '{_SURFACE}')) > 0"""
+_RUNS = rf"""
+sents AS (
+  SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS sent FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[\s\x0b]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents WHERE length(text) > 0)),
+toks AS (SELECT doc_id, sent, unnest(t) AS surface, generate_subscripts(t, 1) AS tok FROM (SELECT doc_id, sent, regexp_extract_all(s, '{_SURFACE}') AS t FROM sents))"""
+
+
+def _spans(name: str, pattern: str, label: str) -> str:
+    return f"""
+{name} AS (
+  SELECT doc_id::VARCHAR AS doc_id, sent, min(tok) AS start, max(tok) AS "end", '{label}' AS label, string_agg(surface, ' ' ORDER BY tok) AS mention
+  FROM (SELECT *, tok - row_number() OVER (PARTITION BY doc_id, sent ORDER BY tok) AS g FROM toks WHERE regexp_matches(surface, '{pattern}')) GROUP BY doc_id, sent, g)"""
+
+
 _LISTS = (("wiki", "wiki_entities"), ("mesh", "mesh_synonyms"), ("dbpedia", "dbpedia_synonyms"))
 
 
@@ -162,7 +176,35 @@ def _trio(short: str, one: str) -> dict[str, str]:
 
 _WORDS = f"words AS (SELECT doc_id, unnest({_tok('text', False)}) AS word FROM documents WHERE text IS NOT NULL)"
 
+#: Parts that other query modules build on.
+LATEST, GOLD = _LATEST, _GOLD
+_NAMES_SQL = f"WITH {_RUNS.strip()},{_spans('names', '^[A-Z]', 'NAME')} SELECT doc_id, sent, start, \"end\", label, mention FROM names"
+
+
+def _propagated(rounds: int) -> str:
+    steps = [f"""
+p{i + 1} AS (
+  SELECT v.s_id, v.t_id, sum(exp(-s.depth) * n.score) / sum(exp(-s.depth)) AS score
+  FROM p{i} v JOIN region s ON s.start_id = v.s_id JOIN region t ON t.start_id = v.t_id AND t.depth = s.depth JOIN p{i} n ON n.s_id = s.node_id AND n.t_id = t.node_id GROUP BY 1, 2)""" for i in range(rounds)]
+    return f"WITH {_REGION.strip()},{_VALID}, p0 AS (SELECT * FROM valid),{','.join(steps)} SELECT s_id, t_id, round(score, 6) AS score FROM p{rounds}"
+
+
 SQL: dict[str, str] = {
+    "text_tokens": TOKEN_COUNTS,
+    "mention_spans": _NAMES_SQL,
+    "bilou_roundtrip": _NAMES_SQL,
+    "span_union": f"""WITH {_RUNS.strip()},{_spans('names', '^[A-Z]', 'NAME')},{_spans('phrases', '^(?:[A-Z].*|of|the|[0-9]+)$', 'PHRASE')}
+SELECT p.doc_id, p.sent, p.start, p."end", coalesce(n.label, p.label) AS label, p.mention FROM phrases p
+LEFT JOIN names n ON n.doc_id = p.doc_id AND n.sent = p.sent AND n.start = p.start AND n."end" = p."end\"""",
+    "align_one_to_one": f"""WITH RECURSIVE {_VALID.strip()},
+cand AS (SELECT *, row_number() OVER (PARTITION BY s_id ORDER BY score DESC, t_id) AS r FROM valid WHERE score >= 0.9),
+ord AS (SELECT s_id, t_id, score, row_number() OVER (ORDER BY score DESC, s_id, t_id) AS rn FROM cand WHERE r <= 10),
+rec AS (
+  SELECT 0::BIGINT AS rn, []::VARCHAR[] AS ss, []::VARCHAR[] AS ts, false AS ok
+  UNION ALL SELECT o.rn, CASE WHEN f THEN list_append(ss, s_id) ELSE ss END, CASE WHEN f THEN list_append(ts, t_id) ELSE ts END, f
+  FROM (SELECT o.*, ss, ts, NOT list_contains(ss, o.s_id) AND NOT list_contains(ts, o.t_id) AS f FROM rec JOIN ord o ON o.rn = rec.rn + 1) o)
+SELECT s_id, t_id, score FROM rec JOIN ord USING (rn) WHERE ok""",
+    "neighborhood_5iter": _propagated(5),
     "normalize_strings": f"SELECT row_id, {_norm('canonical_name')} AS normal_name, replace(replace(lower(canonical_name), '_', ' '), '-', '') AS match_key, lower(regexp_replace(canonical_name, '[^a-zA-Z0-9 ]+', '', 'g')) AS plain_name FROM kb_entity",
     "tokenize_stop": f"SELECT row_id, array_to_string({_tok('definition')}, ' ') AS words, len({_tok('definition')}) AS n_words FROM kb_entity",
     "char_ngrams": f"SELECT row_id, len({_grams('canonical_name', 5)}) AS n_grams, len(list_distinct({_grams('canonical_name', 5)})) AS n_distinct FROM kb_entity WHERE canonical_name IS NOT NULL",

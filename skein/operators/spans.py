@@ -6,6 +6,7 @@ joined by a bar, each as letter-label.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -115,3 +116,11 @@ def repaired_tags(tokens: DataFrame) -> DataFrame:
         .when((F.col("_l") == "I") & ~goes_on, "L").when((F.col("_l") == "L") & ~opened, "U").otherwise(F.col("_l"))
     )
     return marked.withColumn("tag", F.when(F.col("tag") == "O", "O").otherwise(F.concat_ws("-", new, "_e"))).drop("_l", "_e", "_p", "_n")
+
+
+def plain_tags(tokens: DataFrame, renamed: dict[str, str] | None = None) -> DataFrame:
+    """Tags of other annotations in the form used here: an underscore or nothing as O, labels by ``renamed`` (such as KeyEntity to Entity)."""
+    tag = F.when(F.coalesce("tag", F.lit("")).isin("", "_"), "O").otherwise(F.col("tag"))
+    for old, new in (renamed or {}).items():
+        tag = F.regexp_replace(tag, rf"(^|\|)([BILU])-{re.escape(old)}(?=\||$)", f"$1$2-{new}")
+    return tokens.withColumn("tag", tag)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.config import DEFAULT, EngineConfig
 from skein.functions.similarity import lookup
 from skein.functions.text import entity_id
+from skein.operators.kb import KnowledgeBase
 
 # Preference of term types for an entity's name; others rank 4.
 TYPE_RANK = {
@@ -111,6 +112,38 @@ def easy_negatives(targets: DataFrame, positives: DataFrame, hard: DataFrame, pe
     return drawn.select("s_id", "t_id", F.lit(-1).alias("label"), F.lit("easy_negative").alias("provenance"))
 
 
+def negative_mappings(positives: DataFrame, candidates: DataFrame, targets: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Positives with hard and easy negatives: (s_id, t_id, label, provenance, kb1, kb2), for ``sinks.pair_tsv``.
+
+    ``positives`` has (s_id, t_id, t_kb, label, provenance), ids as KB:code. A
+    pair of knowledge bases without any negative has no rows.
+    """
+    hard = hard_negatives(candidates, positives, cfg.hard_negatives, cfg.seed)
+    easy = easy_negatives(targets, positives, hard, cfg.easy_negatives, cfg.seed)
+    own = lambda df: df.select("s_id", "t_id", "label", "provenance", F.substring_index("s_id", ":", 1).alias("kb1"), F.substring_index("t_id", ":", 1).alias("kb2"))
+    negatives = own(hard.unionByName(easy))
+    return own(positives).unionByName(negatives).join(negatives.select("kb1", "kb2").distinct(), ["kb1", "kb2"], "left_semi").select("s_id", "t_id", "label", "provenance", "kb1", "kb2")
+
+
+def knowledge_bases(atoms: DataFrame, definitions: DataFrame, mrrel: DataFrame, symmetric: DataFrame) -> KnowledgeBase:
+    """Entities and relations of every vocabulary of a terminology in one table each, with ``kb``; ``definitions`` has (aui, ord, def)."""
+    entities = collapsed_entities(atoms)
+    owners = atom_owner(entities)
+    rows = kb_rows(entities, joined_definitions(definitions, owners))
+    rel = entity_relations(mrrel, owners, symmetric).select(
+        F.substring_index("src_id", ":", 1).alias("kb"), F.lit(None).cast("int").alias("relation_id"), "relation_type", F.array("src_id", "dst_id").alias("entity_ids"), "symmetric", F.array().cast("array<string>").alias("labels")
+    )
+    return KnowledgeBase("terminology", rows, rel)
+
+
+def eligible_pairs(pairs: DataFrame, known: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The pairs (columns ``kb1``, ``kb2``) of two knowledge bases (``kb``) that are both known and have contexts."""
+    fit = known.select("kb").join(contexts.select("kb"), "kb", "left_semi").distinct()
+    for side in ("kb1", "kb2"):
+        pairs = pairs.join(F.broadcast(fit.withColumnRenamed("kb", side)), side, "left_semi").select(*pairs.columns)  # one row per knowledge base
+    return pairs
+
+
 def stratified_split(pairs: DataFrame, keys: tuple[str, ...], label: str = "label", cfg: EngineConfig = DEFAULT) -> DataFrame:
     """A ``new_split`` column: test, then dev of the rest, then train, in the same parts within every label.
 

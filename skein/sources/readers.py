@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein import schema
 from skein.functions.text import document_id, strip
 from skein.operators.kb import KnowledgeBase
+from skein.plans.scratch import Scratch
 
 # OBO keys that carry no data of the model, and its relation types.
 OBO_RELATIONS = {
@@ -48,8 +50,9 @@ def obo(spark: SparkSession, path: str, name: str, strict: bool = False, all_sta
 
     ``strict`` raises on a relationship type outside the known ones; by default it is dropped.
     """
-    stanza = spark.read.option("lineSep", "\n\n").text(path).select(F.split(strip("value"), r"\r?\n").alias("lines"), F.monotonically_increasing_id().alias("at"))
-    stanza = stanza.withColumn("tag", F.element_at("lines", 1)).where(F.col("tag").rlike(r"^\[[A-Za-z]*\]"))
+    # a stanza begins with a bracket on a new line, whatever its line breaks; what stands before the first is the header
+    stanza = spark.read.option("lineSep", "\n[").text(path).select(F.split(strip("value"), r"\r?\n").alias("lines"), F.monotonically_increasing_id().alias("at"))
+    stanza = stanza.withColumn("tag", F.concat(F.lit("["), F.ltrim(F.element_at("lines", 1), F.lit("[")))).where(F.col("tag").rlike(r"^\[[A-Za-z]*\]"))
     if not all_stanzas:
         first_other = stanza.where("tag != '[Term]'").agg(F.min("at").alias("stop"))
         stanza = stanza.crossJoin(F.broadcast(first_other)).where("stop is null or at < stop")  # one row
@@ -102,14 +105,20 @@ def owl(spark: SparkSession, path: str, name: str) -> KnowledgeBase:
     fields = ", ".join(f"`{t}` {_text_or_ref()}" for t in (*_OWL_LABELS, "skos:definition", "obo:IAO_0000115", "rdfs:subClassOf"))
     cls = spark.read.format("xml").option("rowTag", "owl:Class").schema(f"`_rdf:about` string, {fields}").load(path).where("`_rdf:about` is not null")
     desc = spark.read.format("xml").option("rowTag", "rdf:Description").schema(f"`_rdf:about` string, `rdfs:label` {_text_or_ref()}").load(path)
-    named = desc.select(F.col("`_rdf:about`").alias("ref"), F.explode("`rdfs:label`").alias("l")).select("ref", F.col("l._VALUE").alias("text")).where("text is not null").groupBy("ref").agg(F.min("text").alias("text"))
+    described = desc.where("`_rdf:about` is not null").select(F.col("`_rdf:about`").alias("ref"), F.monotonically_increasing_id().alias("at"), F.posexplode("`rdfs:label`").alias("n", "l"))
+    described = described.select("ref", F.struct("at", "n", F.col("l._VALUE").alias("text")).alias("d")).where("d.text is not null")
+    named = described.groupBy("ref").agg(F.array_sort(F.collect_list("d")).alias("d")).select("ref", F.transform("d", lambda x: x["text"]).alias("texts"))  # in the order of the file
     cls = cls.withColumn("id", F.col("`_rdf:about`"))
     empty = F.array().cast(_text_or_ref())
-    own = [F.col(f"`{t}`") for t in _OWL_LABELS]
-    parts = cls.select("id", F.posexplode_outer(F.concat(*(F.coalesce(c, empty) for c in own))).alias("pos", "l"))
-    texts = parts.join(named, F.col("l.`_rdf:resource`") == F.col("ref"), "left").select("id", "pos", F.coalesce(F.col("l._VALUE"), "text").alias("text"))
-    extra = cls.select("id").join(named, F.col("id") == F.col("ref")).select("id", F.lit(1 << 20).alias("pos"), "text")  # labels of a description of the class itself
-    labels = texts.unionByName(extra).groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "text")))).alias("l"))
+
+    def marked(k: int) -> Column:
+        own = F.coalesce(F.col(f"`{_OWL_LABELS[k]}`"), empty)
+        return F.transform(own, lambda x, i: F.struct(F.lit(k).alias("tag"), i.alias("n"), x["_VALUE"].alias("text"), x["_rdf:resource"].alias("to")))
+
+    parts = cls.select("id", F.explode(F.concat(*map(marked, range(len(_OWL_LABELS))))).alias("l")).select("id", "l.*")
+    texts = parts.join(named, F.col("to") == F.col("ref"), "left").select("id", (F.col("tag") * 2).alias("tag"), "n", F.coalesce("text", F.element_at("texts", 1)).alias("text"))
+    extra = cls.select("id").join(named, F.col("id") == F.col("ref")).select("id", F.lit(1).alias("tag"), F.posexplode("texts").alias("n", "text"))  # labels of descriptions of the class itself follow its own
+    labels = texts.unionByName(extra).where("text is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("tag", "n", "text"))).alias("l"))
     labels = labels.select("id", F.transform("l", lambda x: x["text"]).alias("labels"))
     definition = F.array_join(F.transform(F.concat(*(F.coalesce(F.col(f"`{t}`"), empty) for t in ("skos:definition", "obo:IAO_0000115"))), lambda x: F.lower(x["_VALUE"])), " ")
     entities = cls.select("id", definition.alias("definition")).join(labels, "id", "left").select(
@@ -123,12 +132,19 @@ def owl(spark: SparkSession, path: str, name: str) -> KnowledgeBase:
     return KnowledgeBase(name, entities, relations)
 
 
+def _decoded(literal: str) -> Column:
+    """An N-Triples literal with its escapes replaced; long escapes of the basic plane are read as short ones."""
+    short = F.regexp_replace(F.col(literal), r"\\U0000", r"\\u")
+    plain = F.regexp_replace(short, r"(?<!\\)((?:\\\\)*)\\'", "$1'")
+    return F.coalesce(F.element_at(F.from_json(F.concat(F.lit('["'), plain, F.lit('"]')), "array<string>"), 1), F.col(literal))
+
+
 def dbpedia(spark: SparkSession, path: str, name: str, prefix: str = "http://dbpedia.org/resource/", limit: int = 0) -> KnowledgeBase:
-    """N-Triples lines of abstracts: subjects under ``prefix``, the literal as definition; ``limit`` > 0 keeps so many."""
+    """N-Triples lines of abstracts: subjects under ``prefix``, the literal as definition, its escapes decoded; ``limit`` > 0 keeps so many."""
     triple = spark.read.text(path).select(F.regexp_extract("value", r"^<([^>]*)>", 1).alias("s"), F.regexp_extract("value", r'^<[^>]*>\s+<[^>]*>\s+"((?:[^"\\]|\\.)*)"', 1).alias("text"))
     rows = triple.where(F.startswith("s", F.lit(prefix)))
     label = F.replace(F.substring("s", len(prefix) + 1, 1 << 20), F.lit("_"), F.lit(" "))
-    entities = rows.select(F.lit(name).alias("kb"), F.col("s").alias("research_entity_id"), label.alias("canonical_name"), F.array(label).alias("aliases"), F.col("text").alias("definition"))
+    entities = rows.select(F.lit(name).alias("kb"), F.col("s").alias("research_entity_id"), label.alias("canonical_name"), F.array(label).alias("aliases"), _decoded("text").alias("definition"))
     return KnowledgeBase(name, entities.limit(limit) if limit else entities)
 
 
@@ -186,10 +202,10 @@ def dictionary(spark: SparkSession, path: str, key: str, value: str) -> DataFram
     return spark.read.schema(f"{key} string, {value} array<string>").json(path)
 
 
-def conll(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def conll(spark: SparkSession, path: str, columns: list[str] | None = None, transformers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Annotated tokens: (doc_id, sent, line_no, one column per field), columns named by the header line unless given.
 
-    One file is one task's work for the numbering; several files run in parallel.
+    ``transformers`` maps a field's name to what is made of its values. One file is one task's work for the numbering; several files run in parallel.
     """
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
     if columns is None:
@@ -204,7 +220,7 @@ def conll(spark: SparkSession, path: str, columns: list[str] | None = None) -> D
     lines = lines.withColumn("doc_id", F.last(document_id("line"), ignorenulls=True).over(order))
     toks = lines.where(~blank & ~start).withColumn("sent", F.dense_rank().over(Window.partitionBy("file", "doc_no").orderBy("brk")) - 1)
     cells = F.split(strip("line"), r"\s+")
-    return toks.select(F.coalesce("doc_id", F.concat(F.lit("doc"), F.col("doc_no"))).alias("doc_id"), "sent", "line_no", *(F.try_element_at(cells, F.lit(i + 1)).alias(c) for i, c in enumerate(columns)))
+    return toks.select(F.coalesce("doc_id", F.concat(F.lit("doc"), F.col("doc_no"))).alias("doc_id"), "sent", "line_no", *((transformers or {}).get(c, lambda x: x)(F.try_element_at(cells, F.lit(i + 1))).alias(c) for i, c in enumerate(columns)))
 
 
 def conll_tokens(rows: DataFrame, position: str, surface: str, tag: str) -> DataFrame:
@@ -213,7 +229,7 @@ def conll_tokens(rows: DataFrame, position: str, surface: str, tag: str) -> Data
 
 
 def text_tokens(texts: DataFrame, doc: str, text: str) -> DataFrame:
-    """An all-O annotation of plain texts: sentences by the built-in segmenter, words and punctuation as tokens."""
+    """An all-O annotation of plain texts: sentences end at a full stop, exclamation or question mark before white space, words and punctuation as tokens."""
     sents = texts.select(F.col(doc).cast("string").alias("doc_id"), F.posexplode(F.split(text, r"(?<=[.!?])\s+")).alias("sent", "s"))
     toks = sents.select("doc_id", F.col("sent").cast("long").alias("sent"), F.posexplode(F.regexp_extract_all("s", F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), F.lit(0))).alias("tok", "surface"))
     return toks.select("doc_id", "sent", (F.col("tok") + 1).cast("long").alias("tok"), "surface", F.lit("O").alias("tag"))
@@ -223,6 +239,28 @@ _KB_READERS: dict[str, Callable] = {"json": lambda s, p, n: kb_json(s, p), "obo"
 _ALIGNMENT_READERS = {"tsv": alignment_tsv, "rdf": alignment_rdf, "jsonl": alignment_jsonl, "json": alignment_jsonl}
 
 
+def kb_url(spark: SparkSession, url: str, name: str) -> KnowledgeBase:
+    """An OWL file behind a URL, copied in blocks into the shared folder first."""
+    if urlparse(url).scheme not in ("http", "https", "ftp", "file"):
+        raise ValueError(f"no URL to load: {url}")
+    jvm, path = spark.sparkContext._jvm, f"{Scratch(spark, 'url').root}/source.owl"
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(jvm.java.net.URL(url).openStream(), out, 1 << 16, True)
+    return owl(spark, path, name)
+
+
+def listing(spark: SparkSession, path: str, pattern: str = "*", limit: int = 0) -> DataFrame:
+    """(path, length) of the files below ``path``, by path; ``limit`` > 0 keeps so many. Contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length").orderBy("path")
+    return found.limit(limit) if limit else found
+
+
+def done_log(spark: SparkSession, path: str) -> DataFrame:
+    """The (file) names that ``sinks.done_log`` has noted."""
+    return spark.read.text(path).select(F.col("value").alias("file")).distinct()
+
+
 def _extension(path: str) -> str:
     base = path.rstrip("/").rsplit("/", 1)[-1].lower()
     for packed in (".gz", ".bz2"):
@@ -231,7 +269,9 @@ def _extension(path: str) -> str:
 
 
 def load_kb(spark: SparkSession, path: str, name: str | None = None) -> KnowledgeBase:
-    """A knowledge base by file extension. Python pickles are refused: loading one runs its code."""
+    """A knowledge base by file extension, or of an OWL file behind a URL. Python pickles are refused: loading one runs its code."""
+    if urlparse(path).scheme in ("http", "https", "ftp"):
+        return kb_url(spark, path, name or path.rstrip("/").rsplit("/", 1)[-1].split(".")[0])
     kind = _extension(path)
     if kind in ("pickle", "pkl"):
         raise ValueError("pickled knowledge bases are not read; convert them to JSON or parquet")

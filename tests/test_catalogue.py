@@ -13,7 +13,7 @@ def test_query_matches_sql(spark, name):
     assert_same(QUERIES[name], SQL[name], spark, DATA)
 
 
-@pytest.mark.parametrize("name", ["model_metrics", "hard_easy_negatives", "mention_spans", "span_union", "nlp_features", "stratified_split", "text_tokens", "sampled_contexts"])
+@pytest.mark.parametrize("name", ["model_metrics", "engine_align", "hard_easy_negatives", "nlp_features", "stratified_split", "sampled_contexts"])
 def test_query_without_sql_has_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 

@@ -104,3 +104,10 @@ def test_lemma_and_columns(spark):
     assert [lemma(w) for w in ("cells", "boxes", "bodies", "virus", "mass", "leaves")] == ["cell", "box", "body", "virus", "mass", "leaf"]
     df = spark.createDataFrame([(["cells", "cells"],), ([],), (None,)], "t array<string>").coalesce(1)
     assert [tuple(r) for r in df.select(stems(F.col("t")), lemmas(F.col("t"))).collect()][:2] == [(["cell", "cell"], ["cell", "cell"]), ([], [])]
+
+
+def test_exceptional_stems_and_plurals():
+    from skein.functions.stemming import lemma, stem
+
+    assert [stem(w) for w in ("skies", "dying", "news", "innings", "proceed", "early", "running")] == ["sky", "die", "news", "inning", "proceed", "earli", "run"]
+    assert [lemma(w) for w in ("teeth", "vertebrae", "analyses", "species", "boxes")] == ["tooth", "vertebra", "analysis", "species", "box"]

@@ -276,3 +276,35 @@ def test_cli_arguments():
 
     args = parser().parse_args(["align", "--source", "a.obo", "--target", "b.owl", "--model", "m", "--output", "o.tsv"])
     assert args.strategy == "best" and args.gold is None
+
+
+def test_terminology_assembly(spark):
+    atoms = terminology.concept_atoms(spark.createDataFrame([("C1", "V", "1", "A1", "PT", "Heart", 0), ("C1", "V", "1", "A2", "SY", "Cor", 1), ("C1", "W", "9", "A3", "PT", "heart", 2), ("C2", "W", "8", "A4", "PT", "toe", 3)], "CUI string, SAB string, CODE string, AUI string, TTY string, STR string, ord long"))
+    definitions = spark.createDataFrame([("A2", 1, "second"), ("A1", 0, "first")], "aui string, ord long, def string")
+    mrrel = spark.createDataFrame([("A3", "A4", "PAR"), ("A3", "A9", "PAR"), ("A4", "A3", "")], "AUI1 string, AUI2 string, REL string")
+    made = terminology.knowledge_bases(atoms, definitions, mrrel, spark.createDataFrame([("SIB",)], "rel string"))
+    rows = {r["research_entity_id"]: r for r in made.entities.collect()}
+    assert set(rows) == {"V:1", "W:9", "W:8"} and rows["V:1"]["canonical_name"] == "Heart" and rows["V:1"]["definition"] == "first second"
+    assert [(r["kb"], r["entity_ids"], r["symmetric"]) for r in made.relations.collect()] == [("W", ["W:9", "W:8"], False)]
+
+
+def test_negative_mappings_and_eligibility(spark):
+    positives = spark.createDataFrame([("A:1", "B:1", 1, "p", "B"), ("A:2", "C:1", 1, "p", "C")], "s_id string, t_id string, label int, provenance string, t_kb string")
+    candidates = spark.createDataFrame([("A:1", "B:1"), ("A:1", "B:2")], "s_id string, t_id string")
+    targets = spark.createDataFrame([("B", "B:1"), ("B", "B:2"), ("B", "B:3"), ("C", "C:1")], "kb string, research_entity_id string")
+    got = sorted((r["s_id"], r["t_id"], r["label"]) for r in terminology.negative_mappings(positives, candidates, targets).collect())
+    assert got == [("A:1", "B:1", 1), ("A:1", "B:2", 0), ("A:1", "B:3", -1)]  # nothing for A and C: C has no other target
+    pairs = spark.createDataFrame([("A", "B"), ("A", "C"), ("A", "D")], "kb1 string, kb2 string")
+    kbs = lambda *n: spark.createDataFrame([(x,) for x in n], "kb string")
+    assert [tuple(r) for r in terminology.eligible_pairs(pairs, kbs("A", "B", "C"), kbs("A", "B", "D")).collect()] == [("A", "B")]
+
+
+def test_costs_masks_and_tags(spark):
+    from skein.operators import spans
+
+    assert tuple(assign.cost(spark.createDataFrame([("a", "b", 0.9), ("c", "d", 1.0)], SCORES)).first()) == (2, 0.1, 0.0)
+    rows = spark.createDataFrame([(1, 0.9, True), (1, 0.1, False), (0, 0.8, True)], "label int, probability double, ok boolean")
+    got = evaluate.confusion(rows, mask=F.col("ok")).first()
+    assert (got["tp"], got["fp"], got["fn"], got["tn"]) == (1, 1, 0, 0)
+    tags = spark.createDataFrame([("_",), (None,), ("B-KeyEntity|U-Other",), ("O",)], "tag string")
+    assert [r["tag"] for r in spans.plain_tags(tags, {"KeyEntity": "Entity"}).collect()] == ["O", "O", "B-Entity|U-Other", "O"]

@@ -85,9 +85,9 @@ def test_owl(spark, tmp_path):
 
 
 def test_dbpedia(spark, tmp_path):
-    p = write(tmp_path / "a.ttl", '<http://dbpedia.org/resource/Big_Toe> <http://p> "A \\"toe\\"."@en .\n<http://other/X> <http://p> "no"@en .\n')
-    rows = readers.load_kb(spark, p, "db").entities.collect()
-    assert [(r["canonical_name"], r["definition"]) for r in rows] == [("Big Toe", 'A \\"toe\\".')]
+    lines = [r"""<http://dbpedia.org/resource/Big_Toe> <http://p> "A \"toe\" of caf\u00e9\n\U0000263A it\'s \\."@en .""", '<http://other/X> <http://p> "no"@en .']
+    rows = readers.load_kb(spark, write(tmp_path / "a.ttl", "\n".join(lines)), "db").entities.collect()
+    assert [(r["canonical_name"], r["definition"]) for r in rows] == [("Big Toe", "A \"toe\" of caf\u00e9\n\u263a it's \\.")]
 
 
 def test_kb_json_and_parquet_roundtrip(spark, tmp_path):
@@ -104,6 +104,37 @@ def test_kb_json_and_parquet_roundtrip(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "lines" / "entities")).first()["kb"] == "K"
 
 
+def test_obo_with_other_line_breaks(spark, tmp_path):
+    path = tmp_path / "w.obo"
+    path.write_bytes(OBO.replace("\n", "\r\n").encode())
+    plain = readers.load_kb(spark, write(tmp_path / "x.obo", OBO), "go").entities.orderBy("research_entity_id").collect()
+    assert readers.load_kb(spark, str(path), "go").entities.orderBy("research_entity_id").collect() == plain
+
+
+def test_owl_keeps_all_labels_of_descriptions(spark, tmp_path):
+    text = """<rdf:RDF xmlns:rdf="r" xmlns:rdfs="s" xmlns:owl="o" xmlns:skos="k">
+  <owl:Class rdf:about="http://x/A"><skos:prefLabel>Zeh</skos:prefLabel><skos:altLabel rdf:resource="http://x/d"/></owl:Class>
+  <rdf:Description rdf:about="http://x/A"><rdfs:label>Toe</rdfs:label><rdfs:label>Digit</rdfs:label></rdf:Description>
+  <rdf:Description rdf:about="http://x/d"><rdfs:label>Orteil</rdfs:label><rdfs:label>Dedo</rdfs:label></rdf:Description>
+</rdf:RDF>"""
+    row = readers.load_kb(spark, write(tmp_path / "y.owl", text), "o").entities.first()
+    assert row["canonical_name"] == "Toe" and row["aliases"] == ["toe", "digit", "zeh", "orteil"]
+
+
+def test_url_listing_and_done_log(spark, tmp_path):
+    p = write(tmp_path / "z.owl", OWL)
+    assert readers.kb_url(spark, f"file://{p}", "o").entities.count() == 2
+    with pytest.raises(ValueError, match="URL"):
+        readers.kb_url(spark, "z.owl", "o")
+    write(tmp_path / "b.txt", "b")
+    found = readers.listing(spark, str(tmp_path), limit=5).collect()
+    assert [r["path"].rsplit("/", 1)[-1] for r in found] == ["b.txt", "z.owl"] and found[0]["length"] == 1
+    assert readers.listing(spark, str(tmp_path), "*.owl").count() == 1
+    for name in ("a.tsv", "b.tsv", "a.tsv"):
+        sinks.done_log(spark.createDataFrame([(name,)], "file string"), str(tmp_path / "done"))
+    assert sorted(r["file"] for r in readers.done_log(spark, str(tmp_path / "done")).collect()) == ["a.tsv", "b.tsv"]
+
+
 def test_unsupported_files(spark):
     with pytest.raises(ValueError, match="pickle"):
         readers.load_kb(spark, "x.pkl")
