@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from skein.config import DEFAULT, EngineConfig
 from skein.operators import blocking
 from skein.operators.kb import normalized
+from skein.plans.scratch import Scratch
 
 
 def match_new_entities(stream: DataFrame, target: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, cfg: EngineConfig = DEFAULT):
@@ -23,10 +24,10 @@ def match_new_entities(stream: DataFrame, target: DataFrame, sink: Callable[[Dat
     A replayed batch gives the same rows under the same id, so an idempotent
     sink is exactly-once.
     """
-    known = normalized(target)
+    known = Scratch(target.sparkSession, "incremental").save(blocking.alias_keys(normalized(target)), "keys")  # once, not per batch
 
     def run(batch: DataFrame, epoch: int) -> None:
-        sink(blocking.exact_matches(normalized(batch), known, pairs=F.lit(True)), epoch)
+        sink(blocking.key_matches(blocking.alias_keys(normalized(batch)), known, F.lit(True)), epoch)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
 
