@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein import catalogue
 from skein.config import DEFAULT, STOP_WORDS
-from skein.operators import terminology
+from skein.operators import blocking, terminology
 from skein.plans.engine import Engine
 from tests.conftest import DATA
 
@@ -104,3 +104,16 @@ def test_every_source_draws_easy_negatives_among_all_targets(spark):
     assert len({s for s, _ in easy}) == len(easy) == 2000 and not known & set(easy)
     drawn = Counter(t for _, t in easy)
     assert len(drawn) == 40 and max(drawn.values()) < 100
+
+
+def test_a_frequent_name_brings_its_holders_together_without_listing_their_tokens(spark):
+    """250 holders of one name on each side: the name decides by itself where its tokens are rare, and each pair is listed once."""
+    cols = "kb string, research_entity_id string, canonical_name string, aliases array<string>, definition string"
+    other = lambda i: "".join(chr(97 + int(x)) for x in f"{i * 7919:08}")
+    side = lambda kb, n: [(kb, f"{kb}:{i}", "x", ["shared name", "second name"] if i < 250 else [other(i) + kb.lower()], None) for i in range(n)]
+    for n, whole in ((6000, True), (4000, False)):  # 19 x 250 holders are more than 4000: no token is rare in T
+        s, t = spark.createDataFrame(side("S", 6000), cols), spark.createDataFrame(side("T", n), cols)
+        found = blocking.exact_candidates(s, t, blocking.token_lists(s, t), pairs=F.lit(True))
+        rows = found.pairs().collect()
+        assert len(rows) == len(set(rows)) == 250 * 250 * whole
+        assert found.rest.count() == 0 and found.matched("t").count() == 250 * whole
