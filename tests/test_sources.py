@@ -3,6 +3,7 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
 from skein.operators import kb, spans
@@ -220,3 +221,22 @@ def test_training_and_pair_sinks(spark, tmp_path):
     sinks.evaluation_tsv(pairs, str(tmp_path / "eval"))
     sinks.evaluation_tsv(pairs, str(tmp_path / "eval"))
     assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "eval")).count() == 2
+
+
+def test_conll_files_are_read_by_blocks(spark, tmp_path, monkeypatch):
+    """A file longer than a block gives the same tokens, and is never read as one value."""
+    docs = ["-DOCSTART- (d%d)\n\n" % d + "\n\n".join("\n".join(f"{i}\tw{d}x{s}x{i}\tO" for i in range(5)) for s in range(d % 4 + 1)) + "\n" for d in range(60)]
+    path = write(tmp_path / "long.conll", "pos\tword\ttag\n" + "".join(docs).replace("\n", "\r\n"))
+    text, whole = DataFrameReader.text, []
+    monkeypatch.setattr(DataFrameReader, "text", lambda self, *a, **k: whole.append(k.get("wholetext")) or text(self, *a, **k))
+    read = lambda: sorted(tuple(r) for r in readers.conll(spark, path).collect())
+    once = read()
+    assert [(r[0], r[1], r[4]) for r in sorted(once, key=lambda r: r[2])] == [(f"d{d}", s, f"w{d}x{s}x{i}") for d in range(60) for s in range(d % 4 + 1) for i in range(5)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 300)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        assert read() == once and not any(whole)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
