@@ -117,3 +117,18 @@ def test_a_frequent_name_brings_its_holders_together_without_listing_their_token
         rows = found.pairs().collect()
         assert len(rows) == len(set(rows)) == 250 * 250 * whole
         assert found.rest.count() == 0 and found.matched("t").count() == 250 * whole
+
+
+def test_remaining_candidates_are_ranked_among_all_targets_without_joining_pairs(spark, monkeypatch):
+    """The cut comes before matched targets are left out, in one block of targets and in several; matched sources aren't scored."""
+    cols = "kb string, research_entity_id string, canonical_name string, aliases array<string>, definition string"
+    word = lambda i: "".join(chr(97 + int(x)) for x in f"{i * 7919 % 100000:05}") * 2
+    s, t = (spark.createDataFrame([(kb, f"{kb}:{i:03}", "x", [f"{word(i // 4)}{kb.lower() if i % 3 else ''}"], None) for i in range(200)], cols) for kb in "ST")
+    lists = blocking.token_lists(s, t)
+    exact = blocking.exact_candidates(s, t, lists, pairs=F.lit(True))
+    want = sorted(map(tuple, blocking.remaining_candidates(blocking.top_candidates(lists, 3), exact.pairs()).select("s_id", "t_id", "rank").collect()))
+    for block in (blocking.BLOCK_ENTITIES, 64):
+        monkeypatch.setattr(blocking, "BLOCK_ENTITIES", block)
+        got = blocking.unmatched_top(lists, 3, exact.matched("s"), exact.matched("t"))
+        assert sorted(map(tuple, got.select("s_id", "t_id", "rank").collect())) == want and len(want) > 50
+        assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
