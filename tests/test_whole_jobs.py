@@ -132,3 +132,17 @@ def test_remaining_candidates_are_ranked_among_all_targets_without_joining_pairs
         got = blocking.unmatched_top(lists, 3, exact.matched("s"), exact.matched("t"))
         assert sorted(map(tuple, got.select("s_id", "t_id", "rank").collect())) == want and len(want) > 50
         assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def unmatched_without_pairs(spark, monkeypatch, side: str) -> None:
+    """The query of one side gives the entities without a match though no pair of a frequent name is listed."""
+    named, exact = catalogue._named(spark, DATA), QUERIES["string_equiv"](spark, DATA)
+    want = sorted(map(tuple, blocking.unmatched(named, exact, side).select("kb", "research_entity_id").collect()))
+    monkeypatch.setattr(blocking, "KEY_HOLDERS", 1)  # every shared name is a frequent one
+    monkeypatch.setattr(blocking.ExactMatches, "pairs", None)
+    monkeypatch.setattr(blocking, "exact_matches", None)
+    assert sorted(map(tuple, QUERIES["unmatched_source" if side == "s" else "unmatched_target"](spark, DATA).collect())) == want and want
+
+
+def test_unmatched_sources_need_no_pairs(spark, monkeypatch):
+    unmatched_without_pairs(spark, monkeypatch, "s")
