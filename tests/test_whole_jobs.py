@@ -146,3 +146,7 @@ def unmatched_without_pairs(spark, monkeypatch, side: str) -> None:
 
 def test_unmatched_sources_need_no_pairs(spark, monkeypatch):
     unmatched_without_pairs(spark, monkeypatch, "s")
+
+
+def test_unmatched_targets_need_no_pairs(spark, monkeypatch):
+    unmatched_without_pairs(spark, monkeypatch, "t")
