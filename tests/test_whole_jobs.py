@@ -5,11 +5,12 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from skein import catalogue
 from skein.config import DEFAULT, STOP_WORDS
-from skein.operators import blocking, terminology
+from skein.operators import blocking, postings, terminology
 from skein.plans.engine import Engine
 from tests.conftest import DATA
 
@@ -150,3 +151,34 @@ def test_unmatched_sources_need_no_pairs(spark, monkeypatch):
 
 def test_unmatched_targets_need_no_pairs(spark, monkeypatch):
     unmatched_without_pairs(spark, monkeypatch, "t")
+
+
+def small_blocks(monkeypatch) -> None:
+    monkeypatch.setattr(postings, "BLOCK_ENTITIES", 16)
+    monkeypatch.setattr(postings, "UNIT_SOURCES", 5)
+    monkeypatch.setattr(postings, "GATHERED", 500)
+
+
+def test_candidates_of_several_blocks_are_ranked_without_shuffling_pairs(spark, monkeypatch):
+    small_blocks(monkeypatch)
+    monkeypatch.setattr(blocking, "BLOCK_ENTITIES", 16)
+    plan = QUERIES["candidate_topk"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    rows = catalogue._named(spark, DATA).collect()
+    ix = postings.index(postings.numbered_entities(catalogue._named(spark, DATA)))
+    assert len(ix.blocks) > len(ix.entities.runs)
+    for k in (1, 3):
+        want = brute_force_top(rows, k)
+        got = {(r["s_kb"], r["s_id"], r["t_kb"], r["t_id"], r["rank"]): r["score"] for r in postings.top_pairs(ix, k).collect()}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want) and len(want) > 100
+
+
+def test_the_best_scores_with_ties():
+    rng = np.random.default_rng(1)
+    for k in (1, 4, 50, None):
+        for values in (3, 1000):
+            score = rng.integers(0, values, 2000) / 7.0
+            for least in (0.0, round(float(np.sort(score)[-(k or 1)]), 6)):
+                want = sorted((i for i in range(2000) if round(score[i], 6) > 0 and round(score[i], 6) >= least), key=lambda i: (-round(score[i], 6), i))[:k]
+                at, x = postings._best(score, k, least)
+                assert at.tolist() == sorted(want) and (x == score[at]).all()
