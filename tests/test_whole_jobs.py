@@ -173,6 +173,20 @@ def test_candidates_of_several_blocks_are_ranked_without_shuffling_pairs(spark,
         assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want) and len(want) > 100
 
 
+def test_recall_is_counted_where_pairs_are_ranked(spark, monkeypatch):
+    """No pair leaves the ranking, in several blocks, and ids that stand in several knowledge bases count as often."""
+    rows = catalogue._named(spark, DATA)
+    twice = rows.where("kb = 'MORBIX'").withColumn("kb", F.lit("ZWEIT"))
+    e = rows.unionByName(twice)
+    gold = e.select(F.col("research_entity_id").alias("s_id")).distinct().join(e.select(F.col("research_entity_id").alias("t_id")).distinct(), F.expr("pmod(xxhash64(s_id, t_id), 5) = 0"))
+    want = sorted(blocking.recall_at_k(blocking.top_candidates(blocking.token_lists(e), 500), gold).collect())
+    small_blocks(monkeypatch)
+    monkeypatch.setattr(blocking, "recall_at_k", None)
+    got = blocking.recall_of(e, gold)
+    assert sorted(got.collect()) == want and want[0]["hits"] > 0
+    assert QUERIES["recall_at_k"](spark, DATA).count() == 9
+
+
 def test_the_best_scores_with_ties():
     rng = np.random.default_rng(1)
     for k in (1, 4, 50, None):
