@@ -196,3 +196,28 @@ def test_the_best_scores_with_ties():
                 want = sorted((i for i in range(2000) if round(score[i], 6) > 0 and round(score[i], 6) >= least), key=lambda i: (-round(score[i], 6), i))[:k]
                 at, x = postings._best(score, k, least)
                 assert at.tolist() == sorted(want) and (x == score[at]).all()
+
+
+def frequent_names(spark):
+    """Names that are frequent in small knowledge bases, so that their own tokens aren't rare, some of their holders with another rare word in common; some not normalised."""
+    cols = "kb string, research_entity_id string, canonical_name string, aliases array<string>, definition string"
+    rows = []
+    for kb, n in (("A", 60), ("B", 90), ("C", 40), ("D", 400)):
+        for i in range(n):
+            own = "".join(chr(97 + int(x)) for x in f"{i * 7919 % 100000:05}") + kb.lower() * 3
+            aliases = ["usual name"] if i % 3 else ["Rare_one" if kb in "AC" else "rare-One", own] if i % 9 == 0 else [own, None]
+            rows.append((kb, f"{kb}:{i:03}", "x", aliases, f"zq{i % 29}zq" if i % 2 else None))
+    return spark.createDataFrame(rows, cols)
+
+
+def matched_as_pairs(spark, monkeypatch, side: str) -> None:
+    e = frequent_names(spark)
+    want = set(map(tuple, blocking.exact_candidates(e, e, blocking.token_lists(e)).pairs().select(f"{side}_kb", f"{side}_id").distinct().collect()))
+    monkeypatch.setattr(blocking, "token_lists", None)
+    got = list(map(tuple, blocking.matched_ids(e, side).collect()))
+    assert len(got) == len(set(got)) and set(got) == want and 20 < len(want) < 400
+    assert QUERIES["unmatched_source" if side == "s" else "unmatched_target"](spark, DATA).count() > 0
+
+
+def test_matched_sources_need_no_token_lists(spark, monkeypatch):
+    matched_as_pairs(spark, monkeypatch, "s")
