@@ -221,3 +221,7 @@ def matched_as_pairs(spark, monkeypatch, side: str) -> None:
 
 def test_matched_sources_need_no_token_lists(spark, monkeypatch):
     matched_as_pairs(spark, monkeypatch, "s")
+
+
+def test_matched_targets_need_no_token_lists(spark, monkeypatch):
+    matched_as_pairs(spark, monkeypatch, "t")
